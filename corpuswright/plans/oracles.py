@@ -1,2 +1,101 @@
-def oracle_sql():
-    return {}
+"""DuckDB SQL for the registered queries, written on its own from their definitions."""
+
+from __future__ import annotations
+
+from ..functions.text import STOP_WORDS
+
+WORD = r"[0-9A-Za-z][0-9A-Za-z''\x{80}-\x{10FFFF}]*"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+
+_WITH = f"""
+WITH lab AS (SELECT d.doc_id, d.text, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+y AS (SELECT doc_id, CAST(CASE WHEN quality > 0 THEN 1 ELSE -1 END AS INTEGER) AS y FROM labels WHERE quality IS NOT NULL),
+occ AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS feature FROM lab),
+f AS (SELECT DISTINCT doc_id, feature FROM occ),
+df AS (SELECT feature, count(*) AS df FROM f GROUP BY feature),
+sizes AS (SELECT count(*) FILTER (WHERE y > 0) AS pos, count(*) FILTER (WHERE y < 0) AS neg FROM y),
+tab AS (SELECT feature, count(*) FILTER (WHERE y > 0) AS tp, count(*) FILTER (WHERE y < 0) AS fp FROM f JOIN y USING (doc_id) GROUP BY feature),
+t AS (SELECT * FROM tab, sizes WHERE tp + fp >= 2),
+lo AS (SELECT feature, ln(greatest(tp, 0.1::DOUBLE) * greatest(neg - fp, 0.1::DOUBLE) / (greatest(fp, 0.1::DOUBLE) * greatest(pos - tp, 0.1::DOUBLE))) AS weight FROM t),
+idf AS (SELECT feature, ln((pos + neg)::DOUBLE / (tp + fp)) AS weight FROM t),
+len AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS score, CASE WHEN quality > 0 THEN 1 ELSE -1 END AS y, CAST(quality AS DOUBLE) AS target FROM lab WHERE quality IS NOT NULL)
+"""
+
+_A = "(8 * (pi() - 3) / (3 * pi() * (4 - pi())))"
+
+
+def _inverse(p: str) -> str:
+    x = f"(2 * {p} - 1)"
+    log = f"ln(1 - {x} * {x})"
+    half = f"(2 / (pi() * {_A}) + {log} / 2)"
+    return f"(sqrt(2) * sign({x}) * sqrt(sqrt({half} * {half} - {log} / {_A}) - {half}))"
+
+
+_SCORES = f"""{_WITH},
+every AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS feature FROM documents),
+s AS (SELECT d.doc_id, coalesce(v / sqrt(nullif(ss, 0)), 0) AS score FROM documents d LEFT JOIN
+ (SELECT doc_id, sum(weight * weight) AS v, sum(weight * weight) AS ss FROM every JOIN lo USING (feature) GROUP BY doc_id) USING (doc_id))
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    words = f"SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS tok FROM documents"
+    act = "(SELECT doc_id, feature, weight FROM f JOIN lo USING (feature))"
+    auroc = """SELECT {by} round(sum(CASE WHEN y > 0 THEN below ELSE 0 END)::DOUBLE / (count(*) FILTER (WHERE y > 0) * count(*) FILTER (WHERE y < 0)), 6) AS auroc
+        FROM (SELECT *, coalesce(sum(CASE WHEN y < 0 THEN 1 ELSE 0 END) OVER ({part} ORDER BY score RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {rows}) {group}"""
+    beta = """SELECT round((1 + {b}) * p * r / ({b} * p + r), 6) AS {name} FROM (SELECT
+        count(*) FILTER (WHERE score > 1000 AND y > 0)::DOUBLE / count(*) FILTER (WHERE score > 1000) AS p, count(*) FILTER (WHERE score > 1000 AND y > 0)::DOUBLE / count(*) FILTER (WHERE y > 0) AS r FROM len)"""
+    rmse = "sqrt(avg(pow(greatest(0, abs(score / {by} - target) - 0.1::DOUBLE), 2)))"
+    return {
+        "word_tokens": f"SELECT doc_id, tok, count(*) AS n FROM ({words}) GROUP BY ALL",
+        "skipgrams": f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM l),
+            g AS (SELECT tok, NULL AS prev, 0 AS distance FROM t UNION ALL SELECT a.tok, b.tok, CAST(a.pos - b.pos AS INTEGER) FROM t a JOIN (SELECT *, unnest([1, 2, 3]) AS d FROM t) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d)
+            SELECT tok, prev, distance, count(*) AS n FROM g GROUP BY ALL""",
+        "codepoint_features": r"SELECT doc_id, point, count(*) AS n FROM (SELECT doc_id, unicode(unnest(regexp_extract_all(text, '[^\x00-\x7F]'))) AS point FROM documents) GROUP BY ALL",
+        "substring_features": "SELECT substr(p_name, i::BIGINT, k::BIGINT) AS feature, count(*) AS n FROM (SELECT p_name, i, unnest(range(3, length(p_name) - i + 2)) AS k FROM (SELECT p_name, unnest(range(1, length(p_name) - 1)) AS i FROM part)) GROUP BY ALL",
+        "stopword_filter": f"SELECT doc_id, tok, count(*) AS n FROM ({words}) WHERE tok NOT IN ({_STOP}) GROUP BY ALL",
+        "url_components": "SELECT page_id, part, count(*) AS n FROM (SELECT page_id, unnest(string_split(url, '/')) AS part FROM pages WHERE url LIKE 'http://%' OR url LIKE 'https://%') WHERE part <> '' GROUP BY ALL",
+        "genotype_features": "SELECT CAST(l_linenumber AS VARCHAR) AS chrom, CAST(l_partkey AS VARCHAR) AS pos, l_returnflag || l_linestatus AS alleles, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL",
+        "doc_feature_sets": f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_features, md5(array_to_string(s, ' ')) AS digest FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{WORD}'))) AS s FROM documents)",
+        "label_binarize": f"{_WITH} SELECT * FROM y",
+        "doc_frequency": f"{_WITH} SELECT * FROM df",
+        "df_filter": f"{_WITH} SELECT * FROM df WHERE df >= 2",
+        "feature_pass_stats": f"{_WITH} SELECT count(*) AS n_features, count(*) FILTER (WHERE df >= 2) AS n_passing FROM df",
+        "feature_dictionary": f"{_WITH} SELECT feature, row_number() OVER (ORDER BY feature) AS idx FROM df WHERE df >= 2",
+        "vocab_semi_join": f"{_WITH} SELECT f.doc_id, f.feature FROM f JOIN df USING (feature) WHERE df >= 2",
+        "feature_counts": f"{_WITH} SELECT doc_id, feature, least(255, count(*) - 1) AS extra FROM occ GROUP BY ALL",
+        "empty_docs": f"{_WITH} SELECT doc_id FROM lab WHERE doc_id NOT IN (SELECT doc_id FROM f JOIN df USING (feature) WHERE df >= 25)",
+        "max_doc_features": f"{_WITH} SELECT max(n) AS most FROM (SELECT count(*) AS n FROM f JOIN df USING (feature) WHERE df >= 2 GROUP BY doc_id)",
+        "target_centering": "SELECT doc_id, round(quality - (SELECT avg(quality) FROM labels), 6) AS target FROM labels",
+        "contingency": f"{_WITH} SELECT * FROM tab",
+        "bns_weights": f"""{_WITH}, r AS (SELECT feature, least(0.0005::DOUBLE, 1::DOUBLE / (pos + neg)) AS m, tp::DOUBLE / pos AS a, fp::DOUBLE / neg AS b FROM t),
+            c AS (SELECT feature, greatest(m, least(1 - m, a)) AS a, greatest(m, least(1 - m, b)) AS b FROM r) SELECT feature, round({_inverse("a")} - {_inverse("b")}, 6) AS weight FROM c""",
+        "idf_weights": f"{_WITH} SELECT feature, round(weight, 6) AS weight FROM idf",
+        "log_odds_weights": f"{_WITH} SELECT feature, round(weight, 6) AS weight FROM lo",
+        "unit_weights": f"{_WITH} SELECT feature, 1::DOUBLE AS weight FROM t",
+        "count_threshold_search": f"""{_WITH}, n AS (SELECT doc_id, feature, least(255, count(*) - 1) AS extra FROM occ GROUP BY ALL),
+            lv AS (SELECT feature, extra, count(*) FILTER (WHERE y > 0) AS p, count(*) FILTER (WHERE y < 0) AS q FROM n JOIN y USING (doc_id) GROUP BY ALL),
+            cu AS (SELECT feature, extra, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM lv WINDOW w AS (PARTITION BY feature ORDER BY extra DESC)),
+            we AS (SELECT feature, extra, CASE WHEN tp + fp < 2 THEN 0 ELSE ln(greatest(tp, 0.1::DOUBLE) * greatest(neg - fp, 0.1::DOUBLE) / (greatest(fp, 0.1::DOUBLE) * greatest(pos - tp, 0.1::DOUBLE))) END AS w FROM cu, sizes),
+            rk AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(abs(w), 9) DESC, extra DESC) AS i FROM we)
+            SELECT feature, round(w, 6) AS weight, CASE WHEN w = 0 THEN 0 ELSE extra END AS min_extra FROM rk WHERE i = 1""",
+        "doc_l2_norm": f"{_WITH} SELECT doc_id, round(CASE WHEN sum(weight * weight) > 0 THEN 1 / sqrt(sum(weight * weight)) ELSE 0 END, 6) AS scale FROM {act} GROUP BY doc_id",
+        "doc_svr_scale": f"{_WITH} SELECT doc_id, round(CASE WHEN sum(weight * weight) > 0 THEN 1 / sum(weight * weight) ELSE 0 END, 9) AS scale FROM {act} GROUP BY doc_id",
+        "doc_dot": f"{_WITH} SELECT doc_id, round(sum(a.weight * idf.weight), 5) AS dot FROM {act} a JOIN idf USING (feature) GROUP BY doc_id",
+        "auroc": _WITH + auroc.format(by="", part="", rows="len", group=""),
+        "auroc_by_language": _WITH + auroc.format(by="lang,", part="PARTITION BY lang", rows="(SELECT len.*, lang FROM len JOIN documents USING (doc_id))", group="GROUP BY lang"),
+        "f_beta": _WITH + beta.format(b="4", name="f_beta"),
+        "precision": _WITH + beta.format(b="0", name="precision"),
+        "eps_rmse": f"{_WITH} SELECT round({rmse.format(by=2500)}, 6) AS eps_rmse FROM len",
+        "cv_summary": f"""{_WITH}, m AS (SELECT cost, doc_id % 5 AS fold, {rmse.format(by="(1000 * cost)")} AS metric FROM len, (SELECT unnest([1::DOUBLE, 2, 4]) AS cost) GROUP BY ALL)
+            SELECT cost, round(avg(metric), 6) AS mean_metric, round(min(metric), 6) AS min_metric, round(max(metric), 6) AS max_metric FROM m GROUP BY cost""",
+        "fold_count": f"{_WITH} SELECT greatest(2, least(pos // 2, neg // 2, 10)) AS k FROM sizes",
+        "stratified_folds": f"{_WITH} SELECT doc_id, ((row_number() OVER (PARTITION BY y ORDER BY doc_id) - 1) * 5) // count(*) OVER (PARTITION BY y) AS fold FROM y",
+        "round_robin_folds": f"{_WITH} SELECT doc_id, (row_number() OVER (ORDER BY y, doc_id) - 1) % 10 AS fold FROM y",
+        "c_min": f"""{_WITH} SELECT pow(2::DOUBLE, greatest(-10, floor(log2(1 / (2::DOUBLE * (SELECT count(*) FROM y) * (SELECT max(n) FROM (SELECT count(*) AS n FROM f JOIN df USING (feature) WHERE df >= 2 GROUP BY doc_id)))))) ) AS c_min""",
+        "class_balance": f"{_WITH} SELECT round(2::DOUBLE * neg / (pos + neg), 6) AS cost_pos, round(2::DOUBLE * pos / (pos + neg), 6) AS cost_neg FROM sizes",
+        "classify_docs": f"{_SCORES} SELECT doc_id, round(score, 6) AS score FROM s",
+        "decisions": f"{_SCORES} SELECT round(score, 6) > 0 AS positive, count(*) AS n FROM s GROUP BY ALL",
+        "minmax_calibrate": f"""{_SCORES}, e AS (SELECT least(0::DOUBLE, min(score)) AS lo, greatest(0::DOUBLE, max(score)) AS hi FROM s)
+            SELECT doc_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END, 6) AS calibrated FROM s, e""",
+    }
