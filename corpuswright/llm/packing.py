@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import checkpointed, partitions
 from .tokens import TOKENIZER_FILE, encoder
 
 CAPACITY = 2048
@@ -195,7 +195,10 @@ def solve(pieces: DataFrame, shards: int, capacity: int = CAPACITY, islands: int
     #: A shard's lengths in a fixed order; equal rows are interchangeable.
     lengths = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("lengths"))
     state = lengths.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.expr("cast(array() as array<array<int>>)").alias("guests"))
+    #: A number of partitions of its own: a shard is little data but much work.
+    tasks = min(shards * islands, 4 * partitions(pieces.sparkSession))
     for epoch in range(epochs):
+        state = state.repartition(tasks, "shard", "island")
         epoch_of = _epoch(epoch, capacity, crossovers)
         evolved = state.withColumn("elite", epoch_of("shard", "island", "lengths", "guests"))
         if epoch < epochs - 1:  # an island keeps its elite and gets that of the island before

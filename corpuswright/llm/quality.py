@@ -5,8 +5,8 @@ statistics of whole texts.  The loss is the non-negative unbiased risk
 (Kiryo et al., 2017): with class prior p and sigmoid loss l,
 ``p R(P, +1) + max(0, R(U, -1) - p R(P, -1))``; where the second part turns
 negative, its gradient is reversed.  The prior is estimated from the labelled
-rows, or, where these are all positive, from the positives' mean score of a
-classifier of labelled against unlabelled (Elkan and Noto, 2008).
+rows, or, where these are all positive, from a classifier of labelled against
+unlabelled by its odds on positives that it was not trained on.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def estimate_prior(net: Network, positive: np.ndarray, unlabelled: np.ndarray, n
     half = len(positive) // 2
     other = Network(net.mean, net.scale, [q.copy() for q in net.parameters])
     _descend(other, lambda z: [(_sigmoid(z[0]) - 1) / len(z[0]), _sigmoid(z[1]) / len(z[1])], [positive[: max(1, half)], unlabelled], 300, rng)
-    labelled = _sigmoid(other.raw(positive[half:])).mean()
-    return float(min(0.99, max(0.01, _sigmoid(other.raw(unlabelled)).mean() / max(labelled, 1e-6))))
+    #: Odds of "labelled" are the densities' ratio, which is 1 / prior where only positives are.
+    return float(min(0.99, max(0.01, np.exp(-np.median(other.raw(positive[half:]))))))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, share: tuple[int, int] | None = None, steps: int = STEPS, seed: int = 0) -> Network:
