@@ -150,7 +150,7 @@ def estimate_prior(net: Network, positive: np.ndarray, unlabelled: np.ndarray, n
         return min(0.99, max(0.01, positives / (positives + negatives)))
     half = len(positive) // 2
     other = Network(net.mean, net.scale, [q.copy() for q in net.parameters])
-    _descend(other, lambda z: [(_sigmoid(z[0]) - 1) / len(z[0]), _sigmoid(z[1]) / len(z[1])], [positive[: max(1, half)], unlabelled], 300, rng)
+    _descend(other, lambda z: [(_sigmoid(z[0]) - 1) / len(z[0]), _sigmoid(z[1]) / len(z[1])], [positive[: max(1, half)], unlabelled], 60, rng)
     #: Odds of "labelled" are the densities' ratio, which is 1 / prior where only positives are.
     return float(min(0.99, max(0.01, np.exp(-np.median(other.raw(positive[half:]))))))
 
