@@ -4,9 +4,10 @@ Documents whose sets of five-word shingles have a Jaccard likeness of at least
 PERCENT link; linked documents form components.  The join is exact:
 
 1. Equal sets are one node, named by a 64-bit mark.
-2. Coarse prefixes.  In any fixed order of shingles two linked sets share one
-   of their first n - ceil(t n) + 1.  In the order of the hashes these are
-   joined on equality; nodes that share none can have no link and are done.
+2. Coarse prefixes.  In any fixed order of shingles two linked sets share l of
+   their first n - ceil(t n) + l.  In the order of the hashes and with l of n/16
+   these are joined on equality; a node that shares less than l of them with
+   any others at all can have no link and is done.
 3. Among the others each shingle's document frequency is counted, and sets are
    ordered by it.  A prefix longer by l - 1 holds at least l common shingles
    of every linked pair (Wang, Li and Feng, 2012).  Each node takes the l that
@@ -29,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, partitions
+from ._spark import checkpointed, partitions, release
 from ._words import mix, pieces, shingle_sets
 
 PERCENT = 75
+#: The coarse prefixes are lengthened by one in so many shingles.
+COARSE = 16
 #: Longest extension of a prefix that is weighed, and the cost of a verification in list entries.
 MOST_MATCHES, VERIFY_COST = 8, 20.0
 
@@ -66,19 +69,21 @@ def _least_overlap(n: np.ndarray | int, percent: int):
 
 
 def coarse_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, node): in the order of the hashes, the prefix of every row's set."""
+    """(token, node): in the order of the hashes, the prefix of every row's set; of equal sets in one task, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b in pieces(batch.column("text")):
                 tokens, marks = [], []
                 for s in shingle_sets(batch.column("text").slice(a, b - a)):
-                    if len(s):
-                        head = s[: len(s) - _least_overlap(len(s), percent) + 1]
+                    if len(s) and (name := int(mark(s))) not in seen:
+                        seen.add(name)
+                        head = s[: len(s) - _least_overlap(len(s), percent) + max(1, len(s) // COARSE)]
                         tokens.append(head)
-                        marks.append(np.full(len(head), mark(s)))
+                        marks.append(np.full(len(head), name))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, marks)], names=["token", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(marks).astype(np.int64))], names=["token", "node"])
 
     return docs.select("text").mapInArrow(run, "token long, node long")
 
@@ -101,9 +106,9 @@ def adaptive_prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``p`` is the shingle's place (from 1) in the node's whole set, by frequency;
     ``shared`` is the number of its shingles that are not its own alone.
     """
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    common = tokens.join(frequency, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("common"))
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token")).repartition(partitions(sets.sparkSession), "token")
+    counted = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter(F.col("df") > 1)
+    common = counted.groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("common"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,32 +174,37 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(edges.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id.
+def candidates(docs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(node, doc_id): nodes that share enough of their coarse prefixes with others, and a document of each."""
+    nodes_of = marks.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    prefixes = coarse_prefixes(docs, percent).repartition(partitions(docs.sparkSession), "token")
+    #: One exchange: a window in place of a sum and a join back to its rows.  It holds two numbers a row, and spills.
+    same = Window.partitionBy("token")
+    shared = prefixes.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)}).filter("least <> most")
+    #: Rows of equal sets count more than once, which only keeps more.
+    near = shared.groupBy("node").agg(F.count("*").alias("matches"))
+    return checkpointed(nodes_of.join(near, "node").filter(F.col("matches") >= F.greatest(F.lit(1), F.floor(F.col("n") / COARSE))).select("node", "doc_id"))
 
-    A null or empty text has no shingle and links with nothing: its component
-    is its own doc_id.  Rows with equal sets share a component, repeated rows
-    and rows of one doc_id too.  A row of a null doc_id takes part as a copy
-    of others, but never names a component unless there is no other.  An empty
-    table gives no rows.
+
+def chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, shingles) of the chosen nodes.
+
+    A doc_id may have rows of several texts; those of other sets are left out by their marks.
     """
-    n = partitions(docs.sparkSession)
-    marks = checkpointed(set_marks(docs))
-    nodes_of = marks.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = coarse_prefixes(docs, percent).repartition(n, "token")
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("token")
-    near = prefixes.join(shared, "token", "left_semi").select("node").distinct()
-    chosen = checkpointed(nodes_of.join(near, "node", "left_semi"))
-    #: A doc_id may have rows of several texts; those of other sets are left out by their marks.
-    texts = docs.select("doc_id", "text").join(chosen.select(F.col("doc_id").alias("c")).distinct(), F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
-    sets = checkpointed(node_sets(texts).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    prefix = checkpointed(adaptive_prefixes(sets, percent))
+    ids = chosen.select(F.col("doc_id").alias("c")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
+    return checkpointed(node_sets(texts).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def hub_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of nodes with the hubs of their prefix shingles."""
     hub = prefix.groupBy("token").agg(F.max_by(F.struct("node", "n", "shared"), F.struct(F.col("shared") / F.col("n"), -F.col("node"))).alias("hub"), F.count("*").alias("df")).filter("df > 1")
     starred = prefix.join(hub, "token").filter("node <> hub.node").filter(_possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent))
-    first = checkpointed(verified(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets, percent))
-    nodes = sets.select("node").distinct()
-    label = checkpointed(components(nodes, first))
-    #: Lists with nodes of one component only need no further pair.
+    return checkpointed(verified(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets, percent))
+
+
+def cross_links(prefix: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components; lists with nodes of one component only need no pair."""
     labelled = prefix.join(label, "node")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     open_lists = labelled.join(mixed, "token", "left_semi")
@@ -207,7 +217,33 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .filter((F.col("p") <= length(F.col("n"))) & (F.col("p_b") <= length(F.col("n_b"))))
         .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("matches"), F.first(least).alias("least")).filter("matches >= least").select("a", "b")
     )
-    second = checkpointed(verified(pairs, sets, percent))
+    return checkpointed(verified(pairs, sets, percent))
+
+
+def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id.
+
+    A null or empty text has no shingle and links with nothing: its component
+    is its own doc_id.  Rows with equal sets share a component, repeated rows
+    and rows of one doc_id too.  A row of a null doc_id takes part as a copy
+    of others, but never names a component unless there is no other.  An empty
+    table gives no rows.
+    """
+    spark = docs.sparkSession
+    marks = checkpointed(set_marks(docs))
+    chosen = candidates(docs, marks, percent)
+    release(spark)
+    sets = chosen_sets(docs, chosen)
+    release(spark)
+    prefix = checkpointed(adaptive_prefixes(sets, percent))
+    release(spark)
+    first = hub_links(prefix, sets, percent)
+    release(spark)
+    nodes = sets.select("node").distinct()
+    label = checkpointed(components(nodes, first))
+    release(spark)
+    second = cross_links(prefix, label, sets, percent)
+    release(spark)
     joined = components(nodes, first.unionByName(second))
     rows = marks.join(joined, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
     names = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
