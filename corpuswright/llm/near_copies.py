@@ -18,7 +18,8 @@ PERCENT link; linked documents form components.  The join is exact:
    node with the least share of shingles of its own.  That ties a group of
    copies together with as many pairs as it has members.
 5. Then all pairs of nodes in different components that share at least
-   min(l, l') prefix shingles and pass the bounds are verified.
+   min(l, l') prefix shingles and pass the bounds are verified.  What two nodes
+   share with the same hub bounds what they can share with each other.
 
 No set is compared with all of a group, and no list, link or component goes to
 the driver.
@@ -142,12 +143,15 @@ def _possible(n: Column, shared: Column, m: Column, other: Column, percent: int)
     return most * 100 >= percent * (n + m - most)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their whole sets and of what both have."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("common"))
+
+
+def linked(found: DataFrame, percent: int) -> DataFrame:
+    return found.filter(F.col("common") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -196,28 +200,45 @@ def chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return checkpointed(node_sets(texts).join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
-def hub_links(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of nodes with the hubs of their prefix shingles."""
+def hub_overlaps(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Overlaps of nodes (a) with the hubs (b) of their prefix shingles."""
     hub = prefix.groupBy("token").agg(F.max_by(F.struct("node", "n", "shared"), F.struct(F.col("shared") / F.col("n"), -F.col("node"))).alias("hub"), F.count("*").alias("df")).filter("df > 1")
     starred = prefix.join(hub, "token").filter("node <> hub.node").filter(_possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent))
-    return checkpointed(verified(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets, percent))
+    return checkpointed(overlaps(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets))
+
 
+def references(found: DataFrame) -> DataFrame:
+    """(node, hub, in_hub): of the hubs that a node was compared with, itself among them if it is one,
+    that with the most members, and how much of the node's set it has."""
+    members = found.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("members"))
+    every = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common").unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.col("n_b").alias("common")).distinct())
+    best = every.join(members, "hub").groupBy("node").agg(F.max_by(F.struct("hub", "common"), F.struct("members", "hub")).alias("r"))
+    return best.select("node", "r.hub", F.col("r.common").alias("in_hub"))
 
-def cross_links(prefix: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of different components; lists with nodes of one component only need no pair."""
+
+def cross_links(prefix: DataFrame, label: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components; lists with nodes of one component only need no pair.
+
+    Two nodes compared with one hub have in common at most the lesser of what
+    they share with it and the lesser of what they share with others besides:
+    that bounds most pairs of a group's outliers from above, without a look at
+    their sets.
+    """
     labelled = prefix.join(label, "node")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_lists = labelled.join(mixed, "token", "left_semi")
-    other = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "l", "p", "component")])
+    open_lists = labelled.join(mixed, "token", "left_semi").join(references(known), "node", "left")
+    other = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "l", "p", "component", "hub", "in_hub")])
     least = F.least("l", "l_b")
     length = lambda n: n - F.ceil(n * percent / 100) + least
+    most = F.least("in_hub", "in_hub_b") + F.least(F.col("shared") - F.col("in_hub"), F.col("shared_b") - F.col("in_hub_b"))
+    bounded = F.coalesce((F.col("hub") != F.col("hub_b")) | (most * 100 >= percent * (F.col("n") + F.col("n_b") - most)), F.lit(True))
     pairs = (
         open_lists.join(other, "token").filter("node < node_b and component <> component_b")
-        .filter(_possible(F.col("n"), F.col("shared"), F.col("n_b"), F.col("shared_b"), percent))
+        .filter(_possible(F.col("n"), F.col("shared"), F.col("n_b"), F.col("shared_b"), percent)).filter(bounded)
         .filter((F.col("p") <= length(F.col("n"))) & (F.col("p_b") <= length(F.col("n_b"))))
         .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("matches"), F.first(least).alias("least")).filter("matches >= least").select("a", "b")
     )
-    return checkpointed(verified(pairs, sets, percent))
+    return checkpointed(linked(overlaps(pairs, sets), percent))
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -237,12 +258,13 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     release(spark)
     prefix = checkpointed(adaptive_prefixes(sets, percent))
     release(spark)
-    first = hub_links(prefix, sets, percent)
+    known = hub_overlaps(prefix, sets, percent)
+    first = linked(known, percent)
     release(spark)
     nodes = sets.select("node").distinct()
     label = checkpointed(components(nodes, first))
     release(spark)
-    second = cross_links(prefix, label, sets, percent)
+    second = cross_links(prefix, label, known, sets, percent)
     release(spark)
     joined = components(nodes, first.unionByName(second))
     rows = marks.join(joined, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
