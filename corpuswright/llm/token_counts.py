@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._spark import checkpointed
 from .tokens import TOKENIZER_FILE, encoder
 
 END_ID = 49407
@@ -118,4 +119,4 @@ def stitch(reports: DataFrame) -> DataFrame:
 
 def token_counts(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
     """Token count of every document in the streams; empty documents count 0, an empty table gives no rows."""
-    return stitch(scan(blocks, end_id, width))
+    return stitch(checkpointed(scan(blocks, end_id, width)))
