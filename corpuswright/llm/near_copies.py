@@ -19,7 +19,7 @@ PERCENT link; linked documents form components.  The join is exact:
    copies together with as many pairs as it has members.
 5. Then all pairs of nodes in different components that share at least
    min(l, l') prefix shingles and pass the bounds are verified.  What two nodes
-   share with the same hub bounds what they can share with each other.
+   lack of the same hub bounds what they can share with each other.
 
 No set is compared with all of a group, and no list, link or component goes to
 the driver.
@@ -42,6 +42,8 @@ PERCENT = 75
 COARSE = 16
 #: Longest extension of a prefix that is weighed, and the cost of a verification in list entries.
 MOST_MATCHES, VERIFY_COST = 8, 20.0
+#: Words of 64 buckets that note which of its reference's shingles a node lacks.
+LOST_WORDS = 4
 
 _SALT = np.uint64(0x243F6A8885A308D3)
 
@@ -201,42 +203,66 @@ def chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def hub_overlaps(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Overlaps of nodes (a) with the hubs (b) of their prefix shingles."""
+    """Overlaps of nodes (a) with hubs (b) of their prefix shingles: those that they may link with, and their reference.
+
+    A node's reference is, of its lists' hubs, that with the most nodes; it is
+    compared with it even where the two cannot link, so one pair a node is
+    added.  ``lost`` are buckets of the hub's shingles that the node lacks.
+    """
     hub = prefix.groupBy("token").agg(F.max_by(F.struct("node", "n", "shared"), F.struct(F.col("shared") / F.col("n"), -F.col("node"))).alias("hub"), F.count("*").alias("df")).filter("df > 1")
-    starred = prefix.join(hub, "token").filter("node <> hub.node").filter(_possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent))
-    return checkpointed(overlaps(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets))
+    may = _possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent)
+    starred = prefix.join(hub, "token").groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.first(may).alias("may"))
+    members = starred.groupBy("b").agg(F.count("*").alias("members"))
+    reference = starred.join(members, "b").groupBy("a").agg(F.max_by("b", F.struct("members", "b")).alias("b")).select("a", "b", F.lit(True).alias("reference"))
+    pairs = starred.filter("may and a <> b").select("a", "b", F.lit(False).alias("reference")).unionByName(reference).groupBy("a", "b").agg(F.max("reference").alias("reference"))
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    lacks = both.select("a", "b", "reference", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.array_except("y", "x").alias("lacks"))
+
+    def word(i: int) -> Column:
+        bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(s, 8), F.lit(64)).cast("int"))
+        return F.aggregate("lacks", F.lit(0).cast("long"), lambda got, s: got.bitwiseOR(F.when(F.pmod(s, F.lit(LOST_WORDS)) == i, bit(s)).otherwise(F.lit(0).cast("long"))))
 
+    return checkpointed(lacks.select("a", "b", "reference", "n_a", "n_b", (F.col("n_b") - F.size("lacks")).alias("common"), *[word(i).alias(f"lost{i}") for i in range(LOST_WORDS)]))
+
+
+def _most_common() -> Column:
+    """What two nodes with one reference have in common at most.
+
+    Of the hub's shingles: all but those that either lacks; one lacks its own,
+    and the other at least one more for each bucket that only it has lost.
+    Besides: the lesser of what they share with any others.
+    """
+    def more(mine: str, its: str) -> Column:
+        return sum((F.bit_count(F.col(f"lost{i}{its}").bitwiseAND(F.bitwise_not(F.col(f"lost{i}{mine}")))) for i in range(LOST_WORDS)), F.lit(0))
 
-def references(found: DataFrame) -> DataFrame:
-    """(node, hub, in_hub): of the hubs that a node was compared with, itself among them if it is one,
-    that with the most members, and how much of the node's set it has."""
-    members = found.groupBy(F.col("b").alias("hub")).agg(F.count("*").alias("members"))
-    every = found.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common").unionByName(found.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.col("n_b").alias("common")).distinct())
-    best = every.join(members, "hub").groupBy("node").agg(F.max_by(F.struct("hub", "common"), F.struct("members", "hub")).alias("r"))
-    return best.select("node", "r.hub", F.col("r.common").alias("in_hub"))
+    in_both = F.least(F.col("in_hub") - more("", "_b"), F.col("in_hub_b") - more("_b", ""))
+    return in_both + F.least(F.col("shared") - F.col("in_hub"), F.col("shared_b") - F.col("in_hub_b"))
 
 
 def cross_links(prefix: DataFrame, label: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes of different components; lists with nodes of one component only need no pair.
 
-    Two nodes compared with one hub have in common at most the lesser of what
-    they share with it and the lesser of what they share with others besides:
-    that bounds most pairs of a group's outliers from above, without a look at
-    their sets.
+    A list's largest component is not joined with itself.  What two nodes
+    with one reference can have in common bounds most pairs of a group's
+    outliers from above, without a look at their sets.
     """
     labelled = prefix.join(label, "node")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_lists = labelled.join(mixed, "token", "left_semi").join(references(known), "node", "left")
-    other = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "l", "p", "component", "hub", "in_hub")])
+    sizes = labelled.groupBy("token", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("components")).filter("components > 1").select("token", "largest")
+    lost = [f"lost{i}" for i in range(LOST_WORDS)]
+    refs = known.filter("reference").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("in_hub"), *lost)
+    open_lists = labelled.join(mixed, "token").join(refs, "node", "left")
+    other = open_lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "shared", "l", "p", "component", "hub", "in_hub", *lost)])
     least = F.least("l", "l_b")
     length = lambda n: n - F.ceil(n * percent / 100) + least
-    most = F.least("in_hub", "in_hub_b") + F.least(F.col("shared") - F.col("in_hub"), F.col("shared_b") - F.col("in_hub_b"))
+    most = _most_common()
     bounded = F.coalesce((F.col("hub") != F.col("hub_b")) | (most * 100 >= percent * (F.col("n") + F.col("n_b") - most)), F.lit(True))
     pairs = (
-        open_lists.join(other, "token").filter("node < node_b and component <> component_b")
+        open_lists.filter("component <> largest").join(other, "token").filter("component <> component_b and (component_b = largest or node < node_b)")
         .filter(_possible(F.col("n"), F.col("shared"), F.col("n_b"), F.col("shared_b"), percent)).filter(bounded)
         .filter((F.col("p") <= length(F.col("n"))) & (F.col("p_b") <= length(F.col("n_b"))))
-        .groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("matches"), F.first(least).alias("least")).filter("matches >= least").select("a", "b")
+        .groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).agg(F.count("*").alias("matches"), F.first(least).alias("least")).filter("matches >= least").select("a", "b")
     )
     return checkpointed(linked(overlaps(pairs, sets), percent))
 
