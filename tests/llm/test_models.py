@@ -141,7 +141,8 @@ def test_attention_gradients():
     counts = np.zeros(lm.N_IDS)
     counts[:40] = rng.integers(1, 50, 40)
     counts[lm.END] = 5
-    model = lm.lay_out(counts, 20, 4)
+    model = lm.lay_out(counts, 20, 4, (rng.integers(0, 40, 99), rng.integers(0, 40, 99), np.ones(99)))
+    model.id_prior, model.class_prior = model.id_prior.astype(np.float64), model.class_prior.astype(np.float64)
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
     ids, n = rng.integers(0, 40, 70), np.array([30, 0, 40])
     inputs, targets, _ = lm.windows_of(ids, n)
@@ -164,11 +165,12 @@ def test_next_id_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     counts = np.zeros(lm.N_IDS)
     counts[:12], counts[lm.END] = 10, 10
-    model = lm.lay_out(counts, 8, 2)
+    model = lm.lay_out(counts, 8, 2, (rng.integers(0, 12, 30), rng.integers(0, 12, 30), rng.integers(1, 9, 30)))
     h = rng.normal(0, 1, (1, lm.WIDTH)).astype(np.float32)
     places = np.arange(len(model.of_class))
-    logs, _ = lm._log_probabilities(model, np.repeat(h, len(places), 0), places)
-    assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-5)
+    for before in (None, *(np.full(len(places), b) for b in places)):
+        logs, _ = lm._log_probabilities(model, np.repeat(h, len(places), 0), places, before=before)
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-5)
     rare = model.place == len(model.of_class) - 1
     assert (10 ** model.rare[rare]).sum() == pytest.approx(1)
 
@@ -202,6 +204,20 @@ def test_lm_scores_against_brute_base(spark, docs):
     assert lm.scores(few.limit(0)).count() == 0
 
 
+def test_lm_beats_its_base_on_held_out_texts_in_total(spark, docs):
+    out = lm.scores(docs.filter("doc_id < 9000")).filter("held_out").toPandas()
+    assert out["score"].sum() > out["base_score"].sum()
+
+
+def test_subword_pairs_count_every_text(spark):
+    texts = ["one two one two", None, "", "Two one"]
+    counts, (first, second, n), size = lm.subword_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    ids = [[i for w in (t or "").split() for i in np.frombuffer(lm.encoder().encode_words([w])[0], np.uint16).tolist()] + [lm.END] for t in texts]
+    want = Counter(x for t in ids for x in zip([lm.END] + t, t))
+    assert size == sum(len(t or "") for t in texts) and n.sum() == counts.sum() == sum(want.values())
+    assert {(a, b): c for a, b, c in zip(first.tolist(), second.tolist(), n.tolist())} == want
+
+
 def test_extraction_of_pages(spark):
     import html
 
