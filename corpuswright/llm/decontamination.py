@@ -11,7 +11,8 @@ counts.
 
 Only windows that could pass are fingerprinted: one without any shingle of the
 benchmark has similarity 0, so those are taken that line up with an item at
-some shingle that both have.  Everything runs as DataFrame functions.
+some shingle that both have, moved inside the document where its border clips
+the item.  Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """(doc_id, item_id, start, length, similarity): windows of documents that hold an item.
 
     One row for each document and item, with its best window (the first of
-    equals); ``start`` counts words from 0.  An item of fewer than five words
+    equals); ``start`` counts words from 0.  A document shorter than the item
+    is one window of all its words.  An item of fewer than five words
     is one shingle of all its words, and matches where a document is that
     sequence.  Null and empty texts, and empty tables, match nothing; repeated
     rows of a document give one row.
@@ -116,10 +118,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     #: Windows that line up with an item at a shared shingle.
     hits = hits.select("doc_id", "n_words", "shingles", "at")
     found = hits.select("doc_id", "n_words", "shingles", F.explode("at").alias("i")).withColumn("hash", F.element_at("shingles", F.col("i") + 1))
-    lined = found.join(F.broadcast(entries) if n <= SET_SHINGLES else entries, "hash").withColumn("start", F.col("i") - F.col("offset"))
-    fits = (F.col("start") >= 0) & F.when(F.col("m") >= SHINGLE_WORDS, F.col("start") + F.col("m") <= F.col("n_words")).otherwise(F.col("n_words") == F.col("m"))
+    inside = F.least(F.greatest(F.col("i") - F.col("offset"), F.lit(0)), F.greatest(F.col("n_words") - F.col("m"), F.lit(0)))
+    lined = found.join(F.broadcast(entries) if n <= SET_SHINGLES else entries, "hash").withColumn("start", inside)
+    fits = (F.col("m") >= SHINGLE_WORDS) | (F.col("n_words") == F.col("m"))
     spans = F.greatest(F.col("m") - (SHINGLE_WORDS - 1), F.lit(1))
-    windows = lined.filter(fits).select("doc_id", "m", "start", F.slice("shingles", F.col("start") + 1, spans).alias("window")).distinct()
+    windows = lined.filter(fits).select("doc_id", "m", "start", F.least("m", "n_words").alias("length"), F.slice("shingles", F.col("start") + 1, spans).alias("window")).distinct()
     #: Written once: a fingerprint is used many times below.
     marked = checkpointed(windows.withColumn("fingerprint", simhash(F.col("window"))))
     sought = marked.select("*", F.inline(blocks_of(F.col("fingerprint"))))
@@ -127,10 +130,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     prints = printed.select("item_id", "m", "item_print", F.inline(blocks_of(F.col("item_print"))))
     index = prints.select("item_id", "m", "item_print", "block", F.explode(changed(F.col("value"))).alias("value"))
     near = sought.join(index, ["m", "block", "value"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "item_id", "m", "start", "window").distinct().join(printed.select("item_id", "m", "item"), ["item_id", "m"])
-    pairs = near.select("doc_id", "item_id", "m", "start", weighted_similarity(F.col("window"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "m", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
-    return best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.m").cast("long").alias("length"), F.col("w.similarity").alias("similarity"))
+    near = near.select("doc_id", "item_id", "m", "start", "length", "window").distinct().join(printed.select("item_id", "m", "item"), ["item_id", "m"])
+    pairs = near.select("doc_id", "item_id", "length", "start", weighted_similarity(F.col("window"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
+    return best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.length").cast("long").alias("length"), F.col("w.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

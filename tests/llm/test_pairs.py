@@ -155,6 +155,19 @@ def test_matches_against_all_windows(spark, monkeypatch, seed, by_set):
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs if by_set or d is not None} - {d for d, _ in want if d is not None}
 
 
+def test_items_clipped_by_the_borders(spark):
+    rng = random.Random(11)
+    item = [f"w{i}" for i in rng.sample(range(1000), 40)]
+    other = [f"x{i}" for i in range(30)]
+    texts = {0: item[1:] + other, 1: other + item[:-1], 2: item[1:-1], 3: item[:-2], 4: item[2:] + other, 5: other + item[:-2], 6: item[:20]}
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.length, r.similarity) for r in decontamination.matches(rows, bench).collect()}
+    want = {0: (0, 40, 35 / 37), 1: (29, 40, 35 / 37), 2: (0, 38, 34 / 36), 3: (0, 38, 34 / 36), 4: (0, 40, 34 / 38), 5: (28, 40, 34 / 38)}
+    assert {d: w[:2] for d, w in got.items()} == {d: w[:2] for d, w in want.items()}
+    assert {d: w[2] for d, w in got.items()} == pytest.approx({d: w[2] for d, w in want.items()})
+
+
 def test_matches_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
