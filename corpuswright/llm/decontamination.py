@@ -1,18 +1,16 @@
-"""Benchmark decontamination by SimHash windows and multi-index Hamming search.
+"""Benchmark decontamination by exact weighted similarity of windows.
 
 Every benchmark item of m words is compared with the documents' windows of m
-words.  Windows and items have 64-bit SimHash fingerprints over five-word
-shingles.  Fingerprints are cut into BLOCKS blocks; by the pigeonhole principle
-two within RADIUS bits differ in some block by at most RADIUS // BLOCKS bits,
-so an index that holds each item's blocks with all such changes finds all
-items within RADIUS by equality of a block.  Candidates are verified by exact
-weighted-shingle similarity, sum of minima over sum of maxima of the shingles'
-counts.
-
-Only windows that could pass are fingerprinted: one without any shingle of the
-benchmark has similarity 0, so those are taken that line up with an item at
-some shingle that both have, moved inside the document where its border clips
-the item.  Everything runs as DataFrame functions.
+words by five-word shingles: sum of minima over sum of maxima of the shingles'
+counts.  A window without any shingle of the item has similarity 0, so the
+places where documents have a benchmark's shingle are found first, by a set or
+a join; a pair of a text and an item with enough of them is then compared at
+every window that can be best.  No pair that passes is lost.
+
+SimHash fingerprints of windows and their multi-index Hamming blocks are here
+as functions; matches do not pass through them, since at similarity 0.75 a
+radius that loses nothing (about 24 of 64 bits) lets nearly every block match.
+Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
@@ -22,8 +20,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
-
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 RADIUS, BLOCKS = 15, 4
@@ -101,8 +97,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     sequence.  Null and empty texts, and empty tables, match nothing; repeated
     rows of a document give one row.
     """
-    known = items(benchmark)
-    entries = known.select("m", F.posexplode("item").alias("offset", "hash")).distinct()
+    known = items(benchmark).withColumn("item_key", F.xxhash64("item"))
+    entries = known.select("item_id", "item_key", "m", F.inline(counts_of(F.col("item"))))
     n = known.select(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     texts = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).drop("text")
     hashed = once(texts.withColumn("n_words", F.size("words")), "shingles", shingle_hashes(F.col("words"))).drop("words")
@@ -115,23 +111,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         exploded = hashed.select("doc_id", F.posexplode("shingles").alias("i", "hash"))
         sharing = exploded.join(entries.select("hash").distinct(), "hash").groupBy("doc_id").agg(F.collect_set("i").alias("at"))
         hits = hashed.join(sharing, "doc_id")
-    #: Windows that line up with an item at a shared shingle.
-    hits = hits.select("doc_id", "n_words", "shingles", "at")
-    found = hits.select("doc_id", "n_words", "shingles", F.explode("at").alias("i")).withColumn("hash", F.element_at("shingles", F.col("i") + 1))
-    inside = F.least(F.greatest(F.col("i") - F.col("offset"), F.lit(0)), F.greatest(F.col("n_words") - F.col("m"), F.lit(0)))
-    lined = found.join(F.broadcast(entries) if n <= SET_SHINGLES else entries, "hash").withColumn("start", inside)
-    fits = (F.col("m") >= SHINGLE_WORDS) | (F.col("n_words") == F.col("m"))
-    spans = F.greatest(F.col("m") - (SHINGLE_WORDS - 1), F.lit(1))
-    windows = lined.filter(fits).select("doc_id", "m", "start", F.least("m", "n_words").alias("length"), F.slice("shingles", F.col("start") + 1, spans).alias("window")).distinct()
-    #: Written once: a fingerprint is used many times below.
-    marked = checkpointed(windows.withColumn("fingerprint", simhash(F.col("window"))))
-    sought = marked.select("*", F.inline(blocks_of(F.col("fingerprint"))))
-    printed = checkpointed(known.withColumn("item_print", simhash(F.col("item"))))
-    prints = printed.select("item_id", "m", "item_print", F.inline(blocks_of(F.col("item_print"))))
-    index = prints.select("item_id", "m", "item_print", "block", F.explode(changed(F.col("value"))).alias("value"))
-    near = sought.join(index, ["m", "block", "value"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "item_id", "m", "start", "length", "window").distinct().join(printed.select("item_id", "m", "item"), ["item_id", "m"])
-    pairs = near.select("doc_id", "item_id", "length", "start", weighted_similarity(F.col("window"), F.col("item")).alias("similarity")).filter(F.col("similarity") >= similarity)
+    #: A row's other texts of the same id are told apart by their shingles.
+    shared = hits.select("doc_id", F.xxhash64("shingles").alias("text_key"), "n_words", F.inline(F.transform("at", lambda i: F.struct(i.alias("i"), F.element_at("shingles", i + 1).alias("hash")))))
+    return best_windows(shared.join(F.broadcast(entries) if n <= SET_SHINGLES else entries, "hash"), similarity)
+
+
+def best_windows(met: DataFrame, similarity: float) -> DataFrame:
+    """Best windows from ``met``: a row for each place i of a text (doc_id, text_key, n_words) with a shingle
+    (hash) that an item (item_id, item_key, m) has n times.
+
+    A window's common shingles are counted by their places alone: of equal ones as many as the item has, so a
+    place counts where the n-th equal one before it (``q``) lies before the window.  The count grows only
+    where a window's last shingle is a shared one, so those windows, and the document's first, hold the best.
+    """
+    met = met.filter((F.col("m") >= SHINGLE_WORDS) | (F.col("n_words") == F.col("m")))
+    pair = ["doc_id", "text_key", "n_words", "item_id", "item_key", "m"]
+    equal = met.groupBy(*pair, "hash", "n").agg(F.sort_array(F.collect_set("i")).alias("is"))
+    placed = equal.select(*pair, F.transform("is", lambda p, j: F.struct(p.alias("p"), F.when(j >= F.col("n"), F.get("is", j - F.col("n"))).otherwise(-1).alias("q"))).alias("places"))
+    spans = placed.groupBy(*pair).agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    of_words = lambda c: F.greatest(c - (SHINGLE_WORDS - 1), F.lit(1))
+    sized = spans.select("doc_id", "item_id", "n_words", "m", "places", of_words(F.least("m", "n_words")).alias("span"), of_words(F.col("m")).alias("wanted"))
+    value = lambda common: common / (F.col("span") + F.col("wanted") - common)
+    #: A pair with too few shared places in all is done with.
+    able = sized.filter(value(F.least(F.size("places"), "span")) >= similarity)
+    ends = once(able, "k", F.sequence(F.lit(0), F.size("places") - 1)).withColumn("k", F.explode("k"))
+    first = F.greatest(F.get("places", F.col("k"))["p"] - F.col("span") + 1, F.lit(0))
+    seen = ends.withColumn("start", first).withColumn("near", F.slice("places", F.greatest(F.col("k") - F.col("span") + 2, F.lit(1)), F.least(F.col("span"), F.col("k") + 1)))
+    common = F.size(F.filter("near", lambda x: (x["p"] >= F.col("start")) & (x["q"] < F.col("start"))))
+    pairs = seen.select("doc_id", "item_id", "start", F.least("m", "n_words").alias("length"), value(common).alias("similarity")).filter(F.col("similarity") >= similarity)
     best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
     return best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.length").cast("long").alias("length"), F.col("w.similarity").alias("similarity"))
 

@@ -168,6 +168,39 @@ def test_items_clipped_by_the_borders(spark):
     assert {d: w[2] for d, w in got.items()} == pytest.approx({d: w[2] for d, w in want.items()})
 
 
+def test_edited_items_near_the_threshold_are_all_found(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for i in range(400):
+        w = [f"w{x}" for x in rng.sample(range(5000), rng.randrange(39, 46))]
+        items.append((i, " ".join(w)))
+        w[rng.randrange(4, len(w) - 4)] = "changed"
+        docs.append((i, " ".join(["before"] * rng.randrange(9) + w + ["after"] * rng.randrange(9))))
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(rows, bench).collect()}
+    want = {(d, i): brute_matches([(d, t)], [(i, x)])[d, i] for (d, t), (i, x) in zip(docs, items)}
+    assert len(want) == 400 and got == pytest.approx(want)
+
+
+def test_first_of_the_best_windows(spark):
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choice("ab c d".split()) for _ in range(rng.randrange(5, 14)))) for i in range(6)]
+    docs = [(d, " ".join(rng.choice("ab c d".split()) for _ in range(rng.randrange(60)))) for d in range(40)]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            w, v = words(t), words(x)
+            n = min(len(w), len(v))
+            for s in range(len(w) - n + 1):
+                have, need = Counter(shingles(w[s : s + n])), Counter(shingles(v))
+                value = sum((need & have).values()) / sum((need | have).values())
+                if value >= 0.5 and value > want.get((d, i), (0, 0, 0))[2]:
+                    want[d, i] = (s, n, value)
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.length, r.similarity) for r in decontamination.matches(rows, bench, 0.5).collect()}
+    assert want and got == want
+
+
 def test_matches_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
