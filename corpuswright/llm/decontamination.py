@@ -102,18 +102,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     n = known.select(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     texts = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).drop("text")
     hashed = once(texts.withColumn("n_words", F.size("words")), "shingles", shingle_hashes(F.col("words"))).drop("words")
+    #: Texts of the same id are told apart by their shingles.
+    keyed = hashed.select("doc_id", F.xxhash64("shingles").alias("text_key"), "n_words", "shingles")
     if n <= SET_SHINGLES:
         wanted = [r[0] for r in entries.select("hash").distinct().collect()] or [0]
-        held = once(hashed, "at", F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
-        hits = held
-    else:
-        #: Too many for a set: the documents that share a shingle come from a join on shingles.
-        exploded = hashed.select("doc_id", F.posexplode("shingles").alias("i", "hash"))
-        sharing = exploded.join(entries.select("hash").distinct(), "hash").groupBy("doc_id").agg(F.collect_set("i").alias("at"))
-        hits = hashed.join(sharing, "doc_id")
-    #: A row's other texts of the same id are told apart by their shingles.
-    shared = hits.select("doc_id", F.xxhash64("shingles").alias("text_key"), "n_words", F.inline(F.transform("at", lambda i: F.struct(i.alias("i"), F.element_at("shingles", i + 1).alias("hash")))))
-    return best_windows(shared.join(F.broadcast(entries) if n <= SET_SHINGLES else entries, "hash"), similarity)
+        held = once(keyed, "at", F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
+        shared = held.select("doc_id", "text_key", "n_words", F.inline(F.transform("at", lambda i: F.struct(i.alias("i"), F.element_at("shingles", i + 1).alias("hash")))))
+        return best_windows(shared.join(F.broadcast(entries), "hash"), similarity)
+    #: Too many for a set: each place is joined by its shingle alone.
+    return best_windows(keyed.select("doc_id", "text_key", "n_words", F.posexplode("shingles").alias("i", "hash")).join(entries, "hash"), similarity)
 
 
 def best_windows(met: DataFrame, similarity: float) -> DataFrame:

@@ -168,6 +168,18 @@ def test_items_clipped_by_the_borders(spark):
     assert {d: w[2] for d, w in got.items()} == pytest.approx({d: w[2] for d, w in want.items()})
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_matches_of_null_and_repeated_ids_by_set_and_by_join(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "SET_SHINGLES", most)
+    docs, items = planted(3)
+    held = [t for d, t in docs if d is not None and brute_matches([(d, t)], items)]
+    docs += [(60, "short text of six words here"), (60, held[0]), (61, held[0]), (61, f"{'before ' * 90}{held[1]}"), (None, held[1]), (None, "alone here without any item"), (None, held[1])]
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(rows, bench).collect()}
+    want = brute_matches(docs, items)
+    assert {None, 60, 61} <= {d for d, _ in want} and got == pytest.approx(want)
+
+
 def test_edited_items_near_the_threshold_are_all_found(spark):
     rng = random.Random(12)
     items, docs = [], []
