@@ -242,3 +242,17 @@ def test_extraction_cases(page, text):
 
 def test_extraction_of_nothing(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_language_model_weights_learn_from_texts_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)
+    rows = [(i, f"the cat sat on mat number {i} and a dog ran") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    only, _ = lm.fit(table)
+    seen = {k: x.copy() for k, x in only.weights.items()}
+    with monkeypatch.context() as m:
+        m.setattr(lm, "refined", lambda model, *a: model)
+        first, _ = lm.fit(table)
+    assert any((seen[k] != x).any() for k, x in first.weights.items())
+    ids, counts = map(np.concatenate, zip(*lm.encoder()(pa.array([t for _, t in rows]))))
+    assert lm.log10_probabilities(only, ids, counts).sum() > lm.log10_probabilities(first, ids, counts).sum()
