@@ -18,17 +18,36 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(0))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder spark.checkpoint.dir; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, spark.checkpoint.dir.
 
-    Where the session names no folder (as in tests) one under /tmp is set.
+    Where it is unset a local session, as in tests, gets a folder of its own under
+    /tmp; on a cluster that is an error, as executors would not see each other's files.
     """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return "/tmp/corpuswright-checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder; lineage ends there."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, as a Parquet table of the shared folder, of which later steps read only what they need."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now: it does once the driver has collected
     their last references, which a driver with memory to spare may put off for half an hour."""

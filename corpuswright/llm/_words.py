@@ -102,11 +102,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z folded."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """64-bit hash of each span by the values of its members: of bytes, A-Z folded, if none are given.
+
+    Spans are in a row, with nothing of value between them.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    weighted = _VALUE[data] * _power(_BASE, len(data))
+    weighted = values[data] * _power(_BASE, len(data))
     sums = np.add.reduceat(weighted, start)
     return mix(sums * _power(_BASE_INV, len(data))[start] + (end - start).astype(np.uint64) * _ODD)
 

@@ -3,15 +3,14 @@
 White space always parts the vocabulary's pre-tokens, so a text's ids are its
 words' ids joined.  A chunk of texts is hashed to words in numpy, only words
 not met before are encoded, and all ids are gathered by index.  Plain words
-(letters, then ASCII punctuation) take the vocabulary's merges directly; any
-other goes through the tokenizer itself.
+(letters, then ASCII punctuation) take the vocabulary's merges directly, all
+new ones in one call; any other goes through the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +20,14 @@ from ._words import pieces, utf8, word_hashes, words
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words whose ids a worker keeps between batches; beyond it the older half is dropped.
-CACHE_WORDS = 300_000
-_END = b"\xff"
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_encoders: dict[str, WordEncoder] = {}
+CACHE_WORDS = 200_000
+#: What stands for a word's end while merges are looked up; no plain word has it.
+_END = "\x01"
+#: 1: ASCII letters; 2: ASCII punctuation without the apostrophe; 0: all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,41 +45,78 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, begin): the spans' bytes in a row, and where each begins among them."""
+    sizes = end - start
+    begin = np.cumsum(sizes) - sizes
+    return data[np.arange(int(sizes.sum())) + np.repeat(start - begin, sizes)], begin
+
+
+def _plain_parts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(plain, parts, bytes): which words are letters (ASCII, or Latin-1 by two bytes), then ASCII punctuation, either
+    perhaps none; how many of both each of those has; their bytes, in lower case, with an end's mark after each part."""
+    found, begin = gathered(data, start, end)
+    follows = np.append(found[1:], np.uint8(0))
+    latin = (found == 0xC3) & (follows >= 0x80) & (follows < 0xC0) & (follows != 0x97) & (follows != 0xB7)
+    second = np.insert(latin[:-1], 0, False) if len(latin) else latin
+    kind = _KIND[found]
+    kind[latin | second] = 1
+    head = np.zeros(len(found), bool)
+    head[begin] = True
+    back = np.insert((kind[1:] == 1) & (kind[:-1] == 2) & ~head[1:], 0, False) if len(found) else head
+    plain = ~np.logical_or.reduceat((kind == 0) | back, begin) if len(begin) else np.zeros(0, bool)
+    keep = np.repeat(plain, end - start)
+    lower = np.where((kind == 1) & ((found >= 65) & (found <= 90) | second & (found <= 0x9E)), found + np.uint8(32), found)
+    last = np.append((kind[1:] != kind[:-1]) | head[1:], True) if len(found) else head
+    n_parts = np.add.reduceat(last, begin, dtype=np.int64)[plain] if len(begin) else np.zeros(0, np.int64)
+    return plain, n_parts, np.insert(lower[keep], np.flatnonzero(last[keep]) + 1, ord(_END))
+
+
 class WordEncoder:
-    def __init__(self, name: str, cache_words: int = CACHE_WORDS):
+    """Ids of whole texts.  ``plain``: special tokens' strings in a text are ordinary text."""
+
+    def __init__(self, name: str, cache_words: int = CACHE_WORDS, plain: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = tokenizer_path(name)
         self.exact = Tokenizer.from_file(path)
-        alphabet, ranks = _byte_alphabet(), {_END: 1 << 20}
+        self.exact.encode_special_tokens = plain
+        special = set(self.exact.get_added_tokens_decoder())
+        alphabet, end = _byte_alphabet(), _END.encode()
         with open(path) as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        special = set(self.exact.get_added_tokens_decoder())
+        ranks, last = {end: 1 << 20}, np.zeros((1 << 20) + 1, bool)
         for token, i in vocabulary.items():
-            if i not in special:
-                ends = token.endswith("</w>")
-                ranks[bytes(alphabet[c] for c in (token[:-4] if ends else token)) + _END * ends] = i
+            ends = token.endswith("</w>")
+            raw = bytes(alphabet[c] for c in (token[:-4] if ends else token)) if i not in special else b""
+            if raw and (ends or raw != end):
+                ranks[raw + end * ends] = i
+                last[i] = ends
         #: A word's end is one more byte, which joins the last byte before any other merge.
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.merge = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.ends = last
         self.cache: dict[int, bytes] = {}
         self.cache_words = cache_words
 
-    def encode_words(self, found: list[str]) -> list[bytes]:
-        """uint16 ids of each word, as bytes."""
-        out: list[bytes | None] = [None] * len(found)
-        rest = []
-        for i, word in enumerate(found):
-            if m := _PLAIN.fullmatch(word):
-                ids = self.merge(m[1].lower().encode() + _END) if m[1] else []
-                if m[2]:
-                    ids = ids + self.merge(m[2].encode() + _END)
-                out[i] = np.array(ids, np.uint16).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.exact.encode_batch([found[i] for i in rest], add_special_tokens=False) if rest else ()):
-            out[i] = np.array(e.ids, np.uint16).tobytes()
+    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """uint16 ids, as bytes, of the words at these spans."""
+        out: list[bytes] = [b""] * len(start)
+        plain, n_parts, parts = _plain_parts(data, start, end)
+        some = np.flatnonzero(plain)
+        if len(some):
+            flat = np.array(self.merge(parts.tobytes().decode()), np.int64)
+            upto = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+            cuts = (upto[np.concatenate([[0], np.cumsum(n_parts)])] * 2).tolist()
+            raw = flat.astype(np.uint16).tobytes()
+            for i, a, b in zip(some.tolist(), cuts, cuts[1:]):
+                out[i] = raw[a:b]
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            raw, spans = data.tobytes(), zip(start[rest].tolist(), end[rest].tolist())
+            for i, e in zip(rest.tolist(), self.exact.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in spans], add_special_tokens=False)):
+                out[i] = np.array(e.ids, np.uint16).tobytes()
         return out
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,9 +129,8 @@ class WordEncoder:
             got = list(map(self.cache.get, keys))
             new = [i for i, x in enumerate(got) if x is None]
             if new:
-                raw = data.tobytes()
-                spans = zip(start[where[new]].tolist(), end[where[new]].tolist())
-                for i, ids in zip(new, self.encode_words([raw[s:e].decode("utf-8", "replace") for s, e in spans])):
+                at = where[new]
+                for i, ids in zip(new, self.encode_words(data, start[at], end[at])):
                     got[i] = self.cache[keys[i]] = ids
                 if len(self.cache) > self.cache_words:
                     for k in list(self.cache)[: len(self.cache) // 2]:
@@ -106,8 +145,8 @@ class WordEncoder:
             yield ids, np.diff(upto[first])
 
 
-def encoder(name: str = TOKENIZER_FILE) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]:
+def encoder(name: str = TOKENIZER_FILE, plain: bool = False) -> Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]:
     """The worker's encoder for a vocabulary file; tasks in one worker share it."""
-    if name not in _encoders:
-        _encoders[name] = WordEncoder(name)
-    return _encoders[name]
+    if (name, plain) not in _encoders:
+        _encoders[name, plain] = WordEncoder(name, plain=plain)
+    return _encoders[name, plain]

@@ -142,7 +142,7 @@ def test_attention_gradients():
     counts[:40] = rng.integers(1, 50, 40)
     counts[lm.END] = 5
     model = lm.lay_out(counts, 20, 4, (rng.integers(0, 40, 99), rng.integers(0, 40, 99), np.ones(99)))
-    model.id_prior, model.class_prior = model.id_prior.astype(np.float64), model.class_prior.astype(np.float64)
+    model.id_prior, model.class_prior = [x.astype(np.float64) for x in model.id_prior], model.class_prior.astype(np.float64)
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
     ids, n = rng.integers(0, 40, 70), np.array([30, 0, 40])
     inputs, targets, _ = lm.windows_of(ids, n)
@@ -209,13 +209,71 @@ def test_lm_beats_its_base_on_held_out_texts_in_total(spark, docs):
     assert out["score"].sum() > out["base_score"].sum()
 
 
-def test_subword_pairs_count_every_text(spark):
-    texts = ["one two one two", None, "", "Two one"]
-    counts, (first, second, n), size = lm.subword_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    ids = [[i for w in (t or "").split() for i in np.frombuffer(lm.encoder().encode_words([w])[0], np.uint16).tolist()] + [lm.END] for t in texts]
-    want = Counter(x for t in ids for x in zip([lm.END] + t, t))
-    assert size == sum(len(t or "") for t in texts) and n.sum() == counts.sum() == sum(want.values())
-    assert {(a, b): c for a, b, c in zip(first.tolist(), second.tolist(), n.tolist())} == want
+def lm_rows(texts):
+    import pyspark.sql.functions as F
+
+    return lambda spark: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumns({"held_out": F.lit(False), "learn": F.lit(True)})
+
+
+def lm_ids(text):
+    """A text's ids, word by word."""
+    plain = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return [i for w in plain for i in lm.encoder().encode(" " + w)]
+
+
+ODD_TEXTS = ["one two one two", None, "", "Two one", "a\u00a0 \u00a0b c\u2003 d \u3000 e", "it's 'tis \x1c \x85x É\u00e9 \u6f22\u5b57 <|endoftext|>", "x" * 3000 + " y", "\U0001f642 \u0130 , . !!"]
+
+
+def test_subword_ids_and_counts_of_every_text(spark):
+    table = lm.encoded(lm_rows(ODD_TEXTS)(spark))
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in table.collect()}
+    assert got == {i: lm_ids(t) for i, t in enumerate(ODD_TEXTS)}
+    counts = lm.subword_counts(table)
+    want = Counter(x for t in got.values() for x in [*t, lm.END])
+    assert {i: c for i, c in enumerate(counts.tolist()) if c} == want
+    first, second, n = lm.subword_pairs(table, counts)
+    assert {(a, b): c for a, b, c in zip(first.tolist(), second.tolist(), n.tolist())} == Counter(x for t in got.values() for x in zip([lm.END] + t, t + [lm.END]))
+
+
+def test_words_are_known_by_their_ids():
+    words = [w for t in ODD_TEXTS for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    ids, counts = next(lm.encoder()(pa.array([" ".join(words)])))
+    hashes, text = lm.word_ids(ids, counts, lm.encoder().begins)
+    fold = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    assert len(hashes) == len(words) and not text.any()
+    assert all((hashes[i] == hashes[j]) == (fold[i] == fold[j]) for i in range(len(words)) for j in range(i))
+
+
+def test_score_of_a_text_against_a_plain_loop():
+    """Every id of a text by its own: attention over what its window shows, then class and id by full softmaxes."""
+    rng = np.random.default_rng(6)
+    counts = np.zeros(lm.N_IDS)
+    counts[:60], counts[lm.END] = rng.integers(1, 40, 60), 9
+    model = lm.lay_out(counts, 40, 5, (rng.integers(0, 60, 200), rng.integers(0, 60, 200), rng.integers(1, 9, 200)))
+    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    texts = [rng.integers(0, 60, n) for n in (0, 1, 11, 12, 13, 53)]
+    want = []
+    for t in texts:
+        line, total = [lm.END, *t.tolist(), lm.END], 0.0
+        for i in range(1, len(line)):
+            first = (i - 1) // lm.STRIDE * lm.STRIDE - (lm.CONTEXT - lm.STRIDE)
+            seen = range(max(first, 0), i)
+            x = np.array([w["embedding"][model.place[line[j]]] + w["position"][j - first] for j in seen])
+            a = np.exp(x @ w["key"] @ (x[-1] @ w["query"]) / lm.WIDTH**0.5)
+            y = x[-1] + (a / a.sum()) @ (x @ w["value"]) @ w["merge"]
+            h = y + np.maximum(np.concatenate([y, x[-1]]) @ w["wide"] + w["wide_bias"], 0) @ w["narrow"]
+            target, before = model.place[line[i]], model.place[line[i - 1]]
+            c = model.of_class[target]
+            z = h @ w["to_class"] + w["class_bias"] + model.class_prior[before]
+            total += z[c] - np.log(np.exp(z).sum())
+            if c < len(model.id_prior):
+                at = slice(model.firsts[c], model.firsts[c + 1])
+                z = w["to_id"][at] @ h + w["id_bias"][at] + model.id_prior[c][before]
+                total += z[target - model.firsts[c]] - np.log(np.exp(z).sum())
+            total += model.rare[line[i]] * np.log(10)
+        want.append(total / np.log(10))
+    got = lm.log10_probabilities(model, np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
 def test_extraction_of_pages(spark):
@@ -246,13 +304,20 @@ def test_extraction_of_nothing(spark):
 
 def test_language_model_weights_learn_from_texts_outside_the_sample(spark, monkeypatch):
     monkeypatch.setattr(lm, "SAMPLE_DOCS", 1)
-    rows = [(i, f"the cat sat on mat number {i} and a dog ran") for i in range(60)]
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    only, _ = lm.fit(table)
-    seen = {k: x.copy() for k, x in only.weights.items()}
+    monkeypatch.setattr(lm, "LEARN_EVERY", 1)
+    texts = [f"the cat sat on mat number {i} and a dog ran" for i in range(60)]
+    table = lm.encoded(lm_rows(texts)(spark))
+    only = lm.fit(table)
     with monkeypatch.context() as m:
         m.setattr(lm, "refined", lambda model, *a: model)
-        first, _ = lm.fit(table)
-    assert any((seen[k] != x).any() for k, x in first.weights.items())
-    ids, counts = map(np.concatenate, zip(*lm.encoder()(pa.array([t for _, t in rows]))))
+        first = lm.fit(table)
+    assert any((only.weights[k] != x).any() for k, x in first.weights.items())
+    ids, counts = map(np.concatenate, zip(*lm.encoder()(pa.array(texts))))
     assert lm.log10_probabilities(only, ids, counts).sum() > lm.log10_probabilities(first, ids, counts).sum()
+
+
+def test_steps_grow_with_the_windows():
+    model = lm.lay_out(np.ones(lm.N_IDS), 64, 8)
+    parts = [(np.arange(n) % 50, np.array([n])) for n in (100, 1000, 5, 333)]
+    windows = sum(len(lm.windows_of(*p)[0]) for p in parts)
+    assert lm.refine(model, iter(parts), 0.001) == -(-windows // lm.LEARN_EVERY)

@@ -97,10 +97,11 @@ def test_token_counts_against_direct_counts(spark, docs):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    plain = [(i, t) for i, t in DOCS if "<|endoftext|>" not in (t or "")]
-    want = sorted(len(exact.encode(t or "", add_special_tokens=False).ids) for _, t in plain)
+    exact.encode_special_tokens = True  # a separator's name in a text is ordinary text
+    assert any("<|endoftext|>" in (t or "") for _, t in DOCS)
+    want = sorted(len(exact.encode(t or "", add_special_tokens=False).ids) for _, t in DOCS)
     for block in (3, 64, 1 << 16):
-        blocks = token_counts.flat_streams(docs.filter("text is null or not contains(text, '<|endoftext|>')"), block_ids=block)
+        blocks = token_counts.flat_streams(docs, block_ids=block)
         got = token_counts.token_counts(blocks).collect()
         assert sorted(r.n_tokens for r in got) == want
         by = {}
