@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed
+from ._spark import checkpointed, written
 from .tokens import TOKENIZER_FILE, encoder
 
 END_ID = 49407
@@ -27,21 +27,24 @@ REPORTS = "stream long, block long, n_ids long, n_ends long, head long, tail lon
 
 
 def flat_streams(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, block_ids: int = BLOCK_IDS, end_id: int = END_ID) -> DataFrame:
-    """(stream, block, ids): one flat stream of little-endian uint16 ids for each input partition,
-    cut every ``block_ids`` ids wherever a document stands.  A null text is an empty document."""
+    """(stream, block, ids): flat streams of little-endian uint16 ids, cut every ``block_ids`` ids wherever a
+    document stands, and written to the shared folder.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    A stream holds the documents of one piece of one input file, in their order, and is named by a hash of both;
+    rows that come from no file are one stream a partition, named by its number.  A null text is an empty
+    document.  A separator's name within a text is ordinary text, so that the separator's id cannot arise from it.
+    """
 
-        encode, stream = encoder(tokenizer), TaskContext.get().partitionId()
-        kept, size, block = [], 0, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, plain=True)
+        stream, kept, size, block = None, [], 0, 0
 
-        def cut(last: bool):
+        def cut(last: bool) -> pa.RecordBatch:
             nonlocal kept, size, block
             flat = np.concatenate(kept) if kept else np.zeros(0, np.uint16)
             whole = len(flat) // block_ids
             parts = [flat[i * block_ids : (i + 1) * block_ids] for i in range(whole)]
-            rest = flat[whole * block_ids :]
+            rest = flat[whole * block_ids :].copy()
             if last and len(rest):
                 parts, rest = [*parts, rest], rest[:0]
             out = pa.RecordBatch.from_arrays([pa.array([stream] * len(parts), pa.int64()), pa.array(range(block, block + len(parts)), pa.int64()), pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary())], names=["stream", "block", "ids"])
@@ -49,29 +52,34 @@ def flat_streams(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, block_ids: in
             return out
 
         for batch in batches:
-            for ids, counts in encode(batch.column("text")):
-                ends = np.cumsum(counts)
-                flat = np.insert(ids, ends, end_id).astype(np.uint16)
-                kept.append(flat)
-                size += len(flat)
-                if size >= 16 * block_ids:
-                    yield cut(False)
+            names, text = batch.column("stream").to_numpy(), batch.column("text")
+            edges = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)] if len(names) else []
+            for a, b in zip(edges, edges[1:]):
+                if stream is not None and stream != names[a]:
+                    yield cut(True)
+                    kept, size, block = [], 0, 0
+                stream = int(names[a])
+                for ids, counts in encode(text.slice(a, b - a)):
+                    kept.append(np.insert(ids, np.cumsum(counts), end_id).astype(np.uint16))
+                    size += len(kept[-1])
+                    if size >= 16 * block_ids:
+                        yield cut(False)
         yield cut(True)
 
-    return docs.select("text").mapInArrow(run, BLOCKS)
+    name = F.when(F.input_file_name() == "", F.spark_partition_id().cast("long")).otherwise(F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    return written(docs.select("text", name.alias("stream")).mapInArrow(run, BLOCKS), "streams")
 
 
 def read_flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, width: int = WIDTH) -> DataFrame:
     """(stream, block, ids) of flat token files, through Spark's binaryFile reader (any store that
-    Spark reads; a file holds at most 2 GB).  The stream number is a hash of the file's path.
+    Spark reads; a file holds at most 2 GB and is cut in one task).  The stream number is a hash of the file's path.
     A file whose length is no multiple of the id width is refused."""
     step = block_ids * width
-    return (
-        spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream"), F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.lit("not a whole number of ids"))).alias("content"), "length")
-        .filter(F.col("length") > 0)
-        .select("stream", "content", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step))).alias("block"))
-        .select("stream", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("ids"))
-    )
+    content = F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.lit("not a whole number of ids")))
+    #: Cut before the blocks become rows, so that no row but the file's own carries its bytes.
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step)), lambda i: F.substring(content, (i * step + 1).cast("int"), F.lit(step)))
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0)
+    return files.select(F.xxhash64("path").alias("stream"), F.posexplode(blocks).alias("block", "ids")).withColumn("block", F.col("block").cast("long"))
 
 
 def scan(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
