@@ -4,7 +4,7 @@ Two segments (words; runs of single letters joined) are alike in the measure
 of the letter subsequences they share, each weighted by decay to the span that
 it covers (Lodhi et al., 2002), gaps included: characters put into an insult,
 or left out, stretch its subsequences but keep them.  A machine with squared
-hinge loss is trained on the Nystroem map of a segment's likenesses to a few
+hinge loss is trained, in one task, on the Nystroem map of a segment's likenesses to a few
 hundred landmarks.  Labels are known for documents, not for sentences: the
 sentences of clean documents are all clean, and of a toxic one those segments
 stand for its sentences that the machine scores near the document's highest,
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +35,9 @@ THRESHOLD = 0.3
 ORDER, SPAN, DECAY = 4, 7, 0.6
 #: Subsequences are hashed to this many buckets.
 BUCKETS = 1 << 20
-#: Longer segments are scored in overlapping pieces of this many letters.
+#: Longer segments are learned and scored in overlapping pieces of this many letters.
 LONGEST = 24
-#: Bounds of the training sample, in labelled documents; the least hashes of the ids are taken.
+#: Bounds of the training sample, in labelled documents; the least hashes of the ids are taken, with their whole texts.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 160, 96
 ROUNDS = 3
@@ -46,7 +47,8 @@ CACHE_SEGMENTS = 400_000
 _STEPS = np.array(list(itertools.combinations(range(1, SPAN), ORDER - 1)))
 _WEIGHTS = (DECAY ** (_STEPS[:, -1] + 1 - ORDER)).astype(np.float32)
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 32, ORDER, dtype=np.uint32) | np.uint32(1)
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+")
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -55,14 +57,21 @@ def segment(word: str) -> str:
     return "".join(_LETTERS.findall(word.lower()))
 
 
-def segments(sentence: str) -> list[str]:
-    """A sentence's words as segments; three or more single letters in a row are one more."""
-    found = [s for s in map(segment, sentence.split()) if s]
-    for single, run in itertools.groupby(found, lambda s: len(s) == 1):
-        run = list(run)
-        if single and len(run) > 2:
-            found.append("".join(run))
-    return found
+def spelled(found: list[str]) -> list[str]:
+    """What a text's segments spell: each run of three or more single letters, joined.  Words without a letter do not part a run."""
+    runs = (list(run) for single, run in itertools.groupby(filter(None, found), lambda s: len(s) == 1) if single)
+    return ["".join(run) for run in runs if len(run) > 2]
+
+
+def sentences(text: str) -> list[set[str]]:
+    """A text's sentences as sets of segments; what is spelled in single letters is one more."""
+    found = [[segment(w) for w in _SPACE.split(x)] for x in _SENTENCE.split(text)]
+    return [{s for s in x if s} for x in found] + [set(spelled([s for x in found for s in x]))]
+
+
+def parts_of(s: str) -> list[str]:
+    """A long segment's overlapping pieces."""
+    return [s[a : a + LONGEST] for a in range(0, max(1, len(s) - LONGEST // 2), LONGEST // 2)] if len(s) > LONGEST else [s]
 
 
 def subsequences(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +127,8 @@ def decide(found: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(found), bias, np.float64)
     parts, owner = [], []
     for i, s in enumerate(found):
-        for a in range(0, max(1, len(s) - LONGEST // 2), LONGEST // 2) if len(s) > LONGEST else (0,):
-            parts.append(s[a : a + LONGEST])
+        for part in parts_of(s):
+            parts.append(part)
             owner.append(i)
     owner, value = np.array(owner, np.int64), np.empty(len(parts))
     for rows in _batches(parts):
@@ -204,8 +213,8 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
     none = Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, even, [])
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    #: Each document as the distinct segments of each of its sentences.
-    bags = [[{index.setdefault(s[:LONGEST], len(index)) for s in segments(x)} for x in _SENTENCE.split(t)] for t in toxic + clean]
+    #: Each document as the distinct segments, or their pieces, of each of its sentences.
+    bags = [[{index.setdefault(part, len(index)) for s in x for part in parts_of(s)} for x in sentences(t)] for t in toxic + clean]
     found = list(index)
     if not toxic or not clean or not found:
         return none
@@ -256,12 +265,13 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
         table[BUCKETS] = 0
         score = decide(found, table, bias)
         floor = 0.0
-    summaries = np.array([summary(score[d].max(), np.maximum(score[d], 0).sum(), len(d)) if len(d) else summary(bias, 0.0, 0) for d in docs])
+    buckets = np.flatnonzero(table)
+    machine = Machine(buckets, table[buckets], bias, even, landmarks)
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     weight = np.where(y > 0, rate / len(toxic), (1 - rate) / len(clean)) * 400
-    coefficients = calibrate(summaries, y, weight)
-    buckets = np.flatnonzero(table)
-    return Machine(buckets, table[buckets], bias, coefficients, landmarks)
+    #: The same summaries as when it scores.
+    machine.coefficients = calibrate(Scorer(machine)(pa.array(toxic + clean, pa.large_string())), y, weight)
+    return machine
 
 
 def summary(highest, total, n):
@@ -284,13 +294,16 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Summaries of whole texts' decisions; a segment is decided once and kept."""
+    """Summaries of whole texts' decisions: each distinct segment of a text counts once, and so does each
+    distinct spelled one.  A word's segment is decided once and kept."""
 
     def __init__(self, machine: Machine):
+        #: Per word hash: its segment's decision, the segment's hash, and its letter if it is a single one.
         self.machine, self.dense, self.kept = machine, machine.table(), {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        out = np.tile(summary(self.machine.bias, 0.0, 0), (len(texts), 1))
+        bias = self.machine.bias
+        out = np.tile(summary(bias, 0.0, 0), (len(texts), 1))
         for a, b in pieces(texts):
             data, offsets = utf8(texts.slice(a, b - a))
             start, end, first = words(data, offsets)
@@ -298,41 +311,39 @@ class Scorer:
                 continue
             unique, where, inverse = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
             keys = unique.tolist()
-            got = [self.kept.get(k) for k in keys]
+            got = list(map(self.kept.get, keys))
             new = [i for i, x in enumerate(got) if x is None]
-            raw = data.tobytes()
             if new:
-                spans = zip(start[where[new]].tolist(), end[where[new]].tolist())
-                for i, x in zip(new, decide([segment(raw[s:e].decode("utf-8", "replace")) for s, e in spans], self.dense, self.machine.bias).tolist()):
-                    got[i] = self.kept[keys[i]] = x
+                raw = data.tobytes()
+                names = [segment(raw[s:e].decode("utf-8", "replace")) for s, e in zip(start[where[new]].tolist(), end[where[new]].tolist())]
+                for i, name, x in zip(new, names, decide(names, self.dense, bias).tolist()):
+                    got[i] = self.kept[keys[i]] = (x, hash(name) if name else 0, name if len(name) == 1 else "")
                 if len(self.kept) > CACHE_SEGMENTS:
                     for k in list(self.kept)[: len(self.kept) // 2]:
                         del self.kept[k]
+            values, marks, letters = zip(*got)
             docs = np.repeat(np.arange(b - a), np.diff(first))
-            #: Each segment once a document.
-            pairs = np.unique(docs * len(unique) + inverse)
-            owner, value = pairs // len(unique), np.array(got)[pairs % len(unique)]
+            #: Words whose segments are equal share a place.
+            marks, at, place = np.unique(np.array(marks, np.int64), return_index=True, return_inverse=True)
+            value, there = np.array(values)[at], (marks != 0)[place[inverse]]
+            pairs = np.unique(docs[there] * len(marks) + place[inverse[there]])
+            owner, value = pairs // len(marks), value[pairs % len(marks)]
+            best, total = np.full(b - a, -np.inf), np.zeros(b - a)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            best, total = np.full(b - a, self.machine.bias), np.zeros(b - a)
-            best[owner[cuts]] = np.maximum.reduceat(value, cuts)
-            total[owner[cuts]] = np.add.reduceat(np.maximum(value, 0), cuts)
+            if len(cuts):
+                best[owner[cuts]] = np.maximum.reduceat(value, cuts)
+                total[owner[cuts]] = np.add.reduceat(np.maximum(value, 0), cuts)
             number = np.bincount(owner, minlength=b - a)
-            #: Runs of single letters: a character of one byte, or of two where the first is no ASCII.
-            n = end - start
-            single = (n == 1) & (data[start] >= 65) | (n == 2) & (data[start] >= 0xC3)
-            joined = np.flatnonzero(single[2:] & single[1:-1] & single[:-2] & (docs[2:] == docs[:-2])) if len(single) > 2 else []
-            if len(joined):
-                runs = np.split(joined, np.flatnonzero(np.diff(joined) > 1) + 1)
-                spelled, owners = [], []
-                for r in runs:
-                    for d in range(docs[r[0]], docs[r[-1] + 2] + 1):
-                        members = [i for i in range(r[0], r[-1] + 3) if docs[i] == d]
-                        if len(members) > 2:
-                            spelled.append(segment("".join(raw[start[i] : end[i]].decode("utf-8", "replace") for i in members)))
-                            owners.append(d)
-                extra = decide(spelled, self.dense, self.machine.bias)
-                np.maximum.at(best, np.array(owners, np.int64), extra)
-                np.add.at(total, np.array(owners, np.int64), np.maximum(extra, 0))
+            best = np.where(number > 0, best, bias)
+            #: Only texts with three single letters in a row, words without letters aside, spell anything.
+            letter = np.array([bool(x) for x in letters])[inverse[there]]
+            among, own = np.flatnonzero(there), docs[there]
+            three = np.flatnonzero(letter[2:] & letter[1:-1] & letter[:-2] & (own[2:] == own[:-2])) if len(letter) > 2 else []
+            for d in np.unique(own[three]).tolist() if len(three) else ():
+                found = [letters[inverse[i]] or "--" for i in among[np.searchsorted(own, d) : np.searchsorted(own, d, "right")]]
+                names = sorted(set(spelled(found)))
+                extra = decide(names, self.dense, bias)
+                best[d], total[d], number[d] = max(best[d], extra.max()), total[d] + np.maximum(extra, 0).sum(), number[d] + len(names)
             out[a:b] = summary(best, total, number)
         return out
 
@@ -356,20 +367,40 @@ def scorer(machine: Machine):
     return toxicity
 
 
+def one_label(labels: DataFrame, name: str) -> DataFrame:
+    """(doc_id, label): a document's largest label, where it has several that differ."""
+    return labels.filter(F.col(name).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).alias("label"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> Machine:
-    """Trains on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents that are not held out."""
+    """Trains on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents that are not held out.
+
+    One task learns, from their whole texts; only the weights reach the driver."""
     rows = docs.select("doc_id", "text")
-    marks = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    marks = one_label(labels, "toxic")
     if held_out is not None:
         marks = marks.filter(~held_out)
     share = {bool(r[0]): r[1] for r in marks.groupBy(F.col("label") == 1).count().collect()}
+    n = sum(share.values())
+    rate = share.get(True, 0) / n if n else 0.0
 
-    def sample(ids: DataFrame, most: int) -> list[str]:
-        chosen = ids.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select("doc_id").distinct()
-        return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").limit(most).toPandas()["text"].tolist()
+    def sample(toxic: bool, most: int) -> DataFrame:
+        ids = marks.filter((F.col("label") == 1) == toxic).select("doc_id", F.xxhash64("doc_id").alias("h"))
+        chosen = ids.orderBy("h", "doc_id").limit(most).select("doc_id")
+        return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", F.lit(toxic).alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).orderBy("doc_id", "text").limit(most)
 
-    n = sum(share.values())
-    return train(sample(marks.filter("label = 1"), SAMPLE_TOXIC), sample(marks.filter("label <> 1"), SAMPLE_CLEAN), share.get(True, 0) / n if n else 0.0)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r["toxic"], r["doc_id"], r["text"]) for batch in batches for r in batch.to_pylist())
+        machine = train([t for x, _, t in got if x], [t for x, _, t in got if not x], rate)
+        columns = [machine.buckets.astype(np.int64).tobytes(), machine.weights.astype(np.float32).tobytes(), machine.bias, machine.coefficients.tolist(), machine.landmarks]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())))], names=["buckets", "weights", "bias", "coefficients", "landmarks"])
+
+    both = sample(True, SAMPLE_TOXIC).unionByName(sample(False, SAMPLE_CLEAN)).repartition(1)
+    got = both.mapInArrow(learn, "buckets binary, weights binary, bias double, coefficients array<double>, landmarks array<string>").collect()
+    if not got:
+        return train([], [], rate)
+    r = got[0]
+    return Machine(np.frombuffer(bytes(r["buckets"]), np.int64), np.frombuffer(bytes(r["weights"]), np.float32), r["bias"], np.array(r["coefficients"]), list(r["landmarks"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -378,9 +409,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     One row for each input row; a null text is scored as an empty one, which
     has the score of a text without any segment.  Without labels of both
     classes every score is the toxic share.  Null labels and labels of unknown
-    documents are left out; repeated labels of a document count once; an empty
+    documents are left out; of a document's labels the largest counts; an empty
     table gives no rows.
     """
     held = remainder(F.col("doc_id"), 4) == 2
-    machine = fit(docs, labels.dropDuplicates(["doc_id"]), held)
+    machine = fit(docs, labels, held)
     return docs.select("doc_id", held.alias("held_out"), scorer(machine)(F.coalesce("text", F.lit(""))).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
