@@ -9,12 +9,11 @@ each but the first weighted by the bytes it adds.  The network is trained here,
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import remainder
@@ -24,8 +23,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Bound of the training sample, in documents and in windows; the least hashes of the ids are taken.
-SAMPLE_DOCS = 4000
+#: Bounds of the training sample: documents of each language (those whose ids hash least), windows of each
+#: document (in a row, from a place that its hash gives), and windows in all.
+SAMPLE_DOCS = 1000
+SAMPLE_PART = 8
 SAMPLE_WINDOWS = 8000
 STEPS = 260
 BATCH = 64
@@ -37,7 +38,6 @@ _PLACES = WINDOW - max(WIDTHS) + 1
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[9:14] = 32
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -151,13 +151,21 @@ def _gradients(net: ByteNet, windows: np.ndarray, labels: np.ndarray, rng: np.ra
 
 
 def fit(docs: DataFrame, held_out: Column | None = None, sample_docs: int = SAMPLE_DOCS) -> ByteNet:
-    """Trains on at most ``sample_docs`` documents with a text and a language, those not held out whose ids hash least."""
+    """Trains on at most ``sample_docs`` documents of each language with a text, those not held out whose ids hash least."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     if held_out is not None:
         rows = rows.filter(~held_out)
-    part = F.substring("text", F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - 8 * WINDOW, F.lit(1))).cast("int"), F.lit(8 * WINDOW))
-    chosen = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "lang").limit(sample_docs).select("doc_id").distinct()
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", part.alias("text")).orderBy("doc_id", "lang", "text").limit(sample_docs).toPandas()
+    most = SAMPLE_PART * WINDOW
+    part = F.substring("text", F.lit(1) + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - most, F.lit(1))).cast("int"), F.lit(most))
+
+    def first(df: DataFrame, *order: str) -> DataFrame:
+        """Each partition keeps a language's least ranks only, so that a common language is not gathered."""
+        return df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= sample_docs).drop("r")
+
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    chosen = first(hashed.select("doc_id", "lang", "h"), "h", "doc_id").select("doc_id", "lang").distinct()
+    texts = hashed.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", part.alias("text"), "h")
+    got = first(texts, "h", "doc_id", "text").orderBy("lang", "h", "doc_id", "text").toPandas()
     return train(got["text"].tolist(), got["lang"].tolist())
 
 
@@ -179,7 +187,7 @@ def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray]:
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         for i, t in enumerate(part.to_pylist()):
-            if net.languages and t and _LETTER.search(t):
+            if net.languages and t and any(map(str.isalpha, t)):
                 names.append(net.languages[best[i]])
                 scores.append(float(p[i, best[i]]))
             else:

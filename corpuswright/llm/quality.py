@@ -211,7 +211,8 @@ def _featurised():
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> Network:
     """Trains on bounded samples of the rows that are not held out; features are computed where the texts are."""
     rows = docs.select("doc_id", "text")
-    marks = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    #: Of a document's labels the largest counts.
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     if held_out is not None:
         rows, marks = rows.filter(~held_out), marks.filter(~held_out)
     share = {bool(r[0]): r[1] for r in marks.groupBy(F.col("label") == 1).count().collect()}
@@ -239,9 +240,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     One row for each input row; a null text is scored as an empty one.  Without
     any positive label all scores are 0.5.  Null labels and labels of unknown
-    documents are left out; repeated labels of a document count once; an empty
+    documents are left out; of a document's labels the largest counts; an empty
     table gives no rows.
     """
     held = remainder(F.col("doc_id"), 4) == 2
-    net = fit(docs, labels.dropDuplicates(["doc_id"]), held)
+    net = fit(docs, labels, held)
     return docs.select("doc_id", held.alias("held_out"), scorer(net)("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
