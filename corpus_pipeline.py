@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.llm import decontamination, langid, near_copies, packing
 from corpuswright.llm import toxicity as toxic
-from corpuswright.llm._spark import fresh, table
+from corpuswright.llm._spark import fresh, shared_folder, table
 
 #: A document whose language scores less than this is rejected, as one without a letter is.
 LANGUAGE_SCORE = 0.3
@@ -17,7 +17,7 @@ LANGUAGE_SCORE = 0.3
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine does not find toxic; it learns from all labels."""
-    machine = toxic.fit(docs, table(spark, sf_dir, "labels").dropDuplicates(["doc_id"]))
+    machine = toxic.fit(docs, table(spark, sf_dir, "labels"))
     name = fresh()
     return docs.withColumn(name, toxic.scorer(machine)(F.coalesce("text", F.lit("")))).filter(F.col(name) < toxic.THRESHOLD).drop(name)
 
@@ -54,10 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
