@@ -6,12 +6,12 @@ import argparse
 import sys
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.model import ClassifierModel, Parameters, estimator
 from .sources import framed
-from .sources.feature_store import STRATEGIES, FeatureStore, tokenize
+from .sources.feature_store import FeatureStore, strategies, tokenize
 
 _NAMES = {"cost": "C", "min_cost": "min-c", "max_iterations": "max-iter"}
 _FLAGS = {"do_unique": "no-unique", "do_shuffle": "no-shuffle", "do_normalize": "no-normalize"}
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         elif f.name == "compat":
             out.add_argument("--no-compat", dest="compat", action="store_false")
         elif f.name == "strategy":
-            out.add_argument("--strategy", choices=STRATEGIES, default="html")
+            out.add_argument("--strategy", choices=strategies(), default="html")
         else:
             out.add_argument(f"--{_NAMES.get(f.name, f.name.replace('_', '-'))}", dest=f.name, type=type(f.default), default=None if f.name == "cost_function" else f.default)
     out.add_argument("--model-type")
@@ -39,9 +39,14 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def _text() -> Column:
+    """The content's bytes as they are, well-formed or not."""
+    return F.col("content").cast("string")
+
+
 def _documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = framed.whole_files(spark, paths) if paths else framed.one_document(spark, sys.stdin.buffer.read())
-    return rows.select(F.col("key").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    return rows.select(F.col("key").alias("doc_id"), _text().alias("text"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -55,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "learn":
         FeatureStore(spark, args.store).append(_documents(spark, args.paths), float(args.label), parameters.strategy, parameters.do_unique, strict=True)
     elif args.command == "batch-learn":
-        docs = spark.read.format("framed_labels").load(args.path).select(F.monotonically_increasing_id().cast("string").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), "label")
+        docs = spark.read.format("framed_labels").load(args.path).select(F.monotonically_increasing_id().cast("string").alias("doc_id"), _text().alias("text"), "label")
         FeatureStore(spark, args.store).append(docs, F.col("label"), parameters.strategy, parameters.do_unique)
     elif args.command == "analyze":
         store = FeatureStore(spark, args.store)
@@ -67,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in rows.toLocalIterator():
                 print(f"{r['key']}: {r['value']:.9g}")
             return 0
-        docs = _documents(spark, args.paths) if args.command == "classify" else spark.read.format("framed_keys").load(args.path).select(F.col("key").alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+        docs = _documents(spark, args.paths) if args.command == "classify" else spark.read.format("framed_keys").load(args.path).select(F.col("key").alias("doc_id"), _text().alias("text"))
         for r in model.transform(docs, tokenize(docs, model.parameters.strategy)).toLocalIterator():
             print(f"{r['doc_id']}\t{r['score']:.9g}")
     return 0

@@ -25,8 +25,8 @@ STOP_WORDS = (
 
 
 def latin1(text: Column) -> Column:
-    """One character for each UTF-8 byte."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    """One character for each byte, whatever the bytes are."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
 
 
 def tokens(text: Column) -> Column:
@@ -58,12 +58,13 @@ def code_points(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("[^\\x00-\\x7F]"), F.lit(0)), lambda c: F.ascii(c))
 
 
-def substrings(text: Column, least: int = 3, longest_text: int = 4096) -> Column:
-    """All byte substrings of at least ``least`` bytes; their number is quadratic, so a longer text is refused."""
+def substrings(text: Column, least: int = 3, longest_text: int | None = None) -> Column:
+    """All byte substrings of at least ``least`` bytes.  Their number is quadratic: ``longest_text``, if given, refuses longer texts."""
     flat = latin1(text)
     n = F.length(flat)
     every = F.flatten(F.transform(F.sequence(F.lit(1), n - (least - 1)), lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(flat, i, k))))
-    return F.when(n > longest_text, F.raise_error(F.lit("text too long for substring features"))).when(n >= least, every).otherwise(F.array().cast("array<string>"))
+    refused = F.lit(False) if longest_text is None else n > longest_text
+    return F.when(refused, F.raise_error(F.lit("text too long for substring features"))).when(n >= least, every).otherwise(F.array().cast("array<string>"))
 
 
 def without_stop_words(found: Column) -> Column:
@@ -98,18 +99,20 @@ def explode_text(text: Column, delimiter: str) -> Column:
 
 
 def decode_lenient(raw: bytes) -> list[int]:
-    """Code points from 128, by lead bytes of two to six byte forms; malformed bytes give partial values."""
+    """Code points from 128 of any bytes.
+
+    A byte whose leading ones number two to six begins a form of as many bytes; a
+    form that breaks off gives what it had.  Any other byte stands for itself.
+    """
     out, i = [], 0
     while i < len(raw):
-        lead = raw[i]
-        i += 1
-        if lead < 0x80:
-            continue
-        more = 5 if lead >= 0xFC else 4 if lead >= 0xF8 else 3 if lead >= 0xF0 else 2 if lead >= 0xE0 else 1 if lead >= 0xC0 else 0
-        value = lead & (0x7F >> (more + 1)) if more else lead & 0x3F
-        while more and i < len(raw) and 0x80 <= raw[i] < 0xC0:
-            value = value << 6 | raw[i] & 0x3F
-            i, more = i + 1, more - 1
+        value, i = raw[i], i + 1
+        ones = 8 - (value ^ 0xFF).bit_length()
+        if 2 <= ones <= 6:
+            value &= 0x7F >> ones
+            end = i + ones - 1
+            while i < min(end, len(raw)) and raw[i] >> 6 == 2:
+                value, i = value << 6 | raw[i] & 0x3F, i + 1
         if value >= 0x80:
             out.append(value)
     return out

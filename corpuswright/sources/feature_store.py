@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import feature_hash
 from ..functions.text import code_points, feature_set, genotypes, skip_grams, substrings, tokens
 from ..operators import html
 
-STRATEGIES = ("plain", "html", "substrings", "23andme")
+def _joined(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("|", F.lit(kind), *parts)
+
+
+def plain_symbols(text: Column) -> Column:
+    grams = F.transform(skip_grams(tokens(text)), lambda g: _joined("w", g["tok"], F.when(g["distance"] > 0, F.concat(g["distance"].cast("string"), F.lit("|"), g["prev"]))))
+    return F.concat(grams, F.transform(code_points(F.make_valid_utf8(text)), lambda c: _joined("point", c.cast("string"))))
+
+
+#: Tokenizers by name: symbolic features (``kind|a|b`` strings) of a text column; None: the HTML parser, which takes whole rows.
+_tokenizers: dict[str, Callable[[Column], Column] | None] = {
+    "plain": plain_symbols, "html": None, "substrings": lambda text: F.transform(substrings(text), lambda s: _joined("s", s)),
+    "23andme": lambda text: F.transform(genotypes(text), lambda g: _joined("g", g["chrom"], g["pos"], g["alleles"])),
+}
+
+
+def register_tokenizer(name: str, symbols: Callable[[Column], Column]) -> None:
+    """Adds a tokenizer: a function from a text column to an array<string> column of features."""
+    if name in _tokenizers:
+        raise ValueError(f"already registered: {name}")
+    _tokenizers[name] = symbols
+
+
+def strategies() -> tuple[str, ...]:
+    return tuple(_tokenizers)
 
 
 def symbols(strategy: str, text: Column) -> Column:
-    """Symbolic features of a text (``kind|a|b`` strings), for all strategies but html."""
-    join = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *parts)
-    if strategy == "plain":
-        grams = F.transform(skip_grams(tokens(text)), lambda g: join("w", g["tok"], F.when(g["distance"] > 0, F.concat(g["distance"].cast("string"), F.lit("|"), g["prev"]))))
-        return F.concat(grams, F.transform(code_points(text), lambda c: join("point", c.cast("string"))))
-    if strategy == "substrings":
-        return F.transform(substrings(text), lambda s: join("s", s))
-    if strategy == "23andme":
-        return F.transform(genotypes(text), lambda g: join("g", g["chrom"], g["pos"], g["alleles"]))
-    raise ValueError(f"no such strategy: {strategy}")
+    """Symbolic features of a text, for all strategies but html."""
+    if (found := _tokenizers.get(strategy)) is None:
+        raise ValueError(f"no such strategy: {strategy}")
+    return found(text)
 
 
 def tokenize(docs: DataFrame, strategy: str = "html", hashed: bool = True) -> DataFrame:
     """(doc_id, feature), repeated as features occur, from rows (doc_id, text); hashes or symbols."""
     if strategy == "html":
-        rows = html.html_features(docs, "doc_id", "text").withColumn("feature", F.concat_ws("|", "kind", "a", "b")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.explode(F.array_repeat("feature", F.col("n").cast("int"))).alias("feature"))
+        rows = html.html_features(docs.withColumn("text", F.make_valid_utf8("text")), "doc_id", "text").withColumn("feature", F.concat_ws("|", "kind", "a", "b")).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.explode(F.array_repeat("feature", F.col("n").cast("int"))).alias("feature"))
     else:
         rows = docs.select("doc_id", F.explode(symbols(strategy, F.col("text"))).alias("feature"))
     return rows.withColumn("feature", feature_hash("feature")).filter("feature <> 0") if hashed else rows
@@ -38,17 +59,26 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def append(self, docs: DataFrame, label: Column | float, strategy: str = "html", unique: bool = True, strict: bool = False) -> int:
-        """Adds documents (doc_id, text); those without a feature are skipped, or refused if ``strict``.  Returns how many were added."""
+    def append(self, docs: DataFrame, label: Column | float, strategy: str = "html", unique: bool = True, strict: bool = False, batch: str | None = None) -> int:
+        """Adds documents (doc_id, text); those without a feature are skipped, or refused if ``strict``.  Returns how many were added.
+
+        In the store each row has an id of its own, of its batch's name and a
+        number, so that documents of one name stay apart.  A batch of the same name is replaced.
+        """
+        batch = batch or uuid.uuid4().hex
         label = label if isinstance(label, Column) else F.lit(float(label))
-        sets = tokenize(docs, strategy).groupBy("doc_id").agg(feature_set(F.collect_list("feature"), unique).alias("features"))
-        rows = docs.select("doc_id", label.cast("float").alias("label")).join(sets, "doc_id", "left")
-        if strict and not rows.filter("features is null").isEmpty():
-            raise ValueError("a document has no features")
-        rows = rows.filter("features is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "label", "features")
-        before = self.count()
-        rows.write.mode("append").parquet(self.path)
-        return self.count() - before
+        #: Kept, as the ids are read twice.
+        rows = docs.select(F.concat(F.lit(f"{batch}:"), F.monotonically_increasing_id().cast("string")).alias("doc_id"), "text", label.cast("float").alias("label")).persist()
+        try:
+            sets = tokenize(rows, strategy).groupBy("doc_id").agg(feature_set(F.collect_list("feature"), unique).alias("features"))
+            both = rows.select("doc_id", "label").join(sets, "doc_id", "left")
+            if strict and not both.filter("features is null").isEmpty():
+                raise ValueError("a document has no features")
+            added = Observation()
+            both.filter("features is not null").observe(added, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+            return added.get["n"]
+        finally:
+            rows.unpersist()
 
     def count(self) -> int:
         try:
@@ -59,7 +89,7 @@ class FeatureStore:
             raise
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("doc_id string, label float, features array<long>").parquet(self.path)
+        return self.spark.read.schema("doc_id string, label float, features array<long>, batch string").parquet(self.path).drop("batch")
 
     def features(self) -> DataFrame:
         """(doc_id, feature) rows."""

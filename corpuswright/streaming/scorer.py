@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,9 +24,11 @@ def score_stream(docs: DataFrame, model: ClassifierModel, path: str, checkpoint:
 
 
 def learn_stream(docs: DataFrame, store: FeatureStore, checkpoint: str, strategy: str = "html") -> StreamingQuery:
-    """Appends each micro-batch (doc_id, text, label) to the store."""
+    """Appends each micro-batch (doc_id, text, label) to the store, under a name of the checkpoint and the
+    batch's number, so that one run again replaces what it wrote."""
+    name = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        store.append(batch, batch["label"], strategy)
+        store.append(batch, batch["label"], strategy, batch=f"stream-{name}-{number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

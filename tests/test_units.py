@@ -13,15 +13,16 @@ from corpuswright.cli import main
 from corpuswright.functions import hashing
 from corpuswright.functions import text as tx
 from corpuswright.operators import folds, html, metrics
-from corpuswright.operators.model import Classifier, ClassifierModel, Parameters, estimator, hill_climb, metric
-from corpuswright.operators.solver import Rows, svc, svc_dual, svc_primal, svr, svr_primal
+from corpuswright.operators import model as models
+from corpuswright.operators.model import Classifier, ClassifierModel, OneVsRest, Parameters, estimator, hill_climb, metric
+from corpuswright.operators.solver import Local, Rows, Spread, hinge, minimum, tube
 from corpuswright.sources import corpora, framed
 from corpuswright.sources.feature_store import FeatureStore, tokenize
 from corpuswright.streaming.scorer import learn_stream, score_stream
 
 
 @pytest.mark.parametrize("value,want", [
-    ("", 6142509188972423790), ("a", 4993892634952068459), ("abc", 3663726644998027833), ("hello", 2762169579135187400), ("12345678", -8332907654791504731), ("text-classifier", -8489770331371556551),
+    ("", 6142509188972423790), ("a", 4993892634952068459), ("abc", 3663726644998027833), ("hello", 2762169579135187400), ("12345678", -8332907654791504731), ("sixteen letters!", -6099954007389354058),
 ])
 def test_hash_vectors(value, want):
     assert hashing.hash_one(value) == want
@@ -55,6 +56,7 @@ def test_tokenizers(spark):
     assert [tuple(g) for g in column(spark, dump, tx.genotypes)] == [("1", "100", "AG"), ("1", "100", "AG"), ("1", "100", "GA")]
     assert column(spark, "a,b,", lambda c: tx.explode_text(c, ",")) == ["a", "b"]
     assert tx.decode_lenient("é€x".encode()) == [233, 8364] and tx.decode_lenient(b"\xc3") == []
+    assert tx.decode_lenient(b"\x85a\xfe\xff") == [0x85, 0xFE, 0xFF] and tx.decode_lenient(b"\xe2\x82a\xc3\xa9") == [0x82, 0xE9]
     assert tx.shortest(0.1) == "0.1" and float(tx.shortest(1 / 3)) == 1 / 3
 
 
@@ -118,28 +120,44 @@ def problem(seed, n=60, width=30):
     rng = np.random.default_rng(seed)
     x = rng.normal(0, 1, (n, width)) * (rng.random((n, width)) < 0.3)
     row, col = np.nonzero(x)
-    return Rows.of(row, col, x[row, col], n, width), rng
+    return Rows(row, col, x[row, col], n, width), rng
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_classifier_reaches_its_optimum(seed):
+    """Every dual point bounds the optimum from below; the optimum's own dual point meets it."""
     rows, rng = problem(seed)
     y = np.where(rng.random(60) < 0.3, 1.0, -1.0)
     costs = np.where(y > 0, 5.0, 0.5)
-    w, alpha = svc(rows, y, costs, epsilon=1e-7)
-    assert (alpha >= 0).all()
-    primal, dual = svc_primal(rows, y, costs, w), svc_dual(y, costs, w, alpha)
+    w = minimum(Local(rows, hinge(y, costs)), np.zeros(rows.width))
+    primal, _ = Local(rows, hinge(y, costs)).at(w)
+    alpha = 2 * costs * np.maximum(1 - y * rows.dot(w), 0)
+    turned = rows.back(alpha * y)
+    dual = alpha.sum() - 0.5 * turned @ turned - 0.25 * (alpha**2 / costs).sum()
     assert 0 <= primal - dual + 1e-9 < 1e-4 * max(1, primal)
+    again = minimum(Local(rows, hinge(y, costs)), w + 0.1)
+    assert np.allclose(again, w, atol=1e-4)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_regressor_reaches_its_optimum(seed):
     rows, rng = problem(seed)
     y = rng.normal(0, 1, 60)
-    w, _ = svr(rows, y, 2.0, 0.1, epsilon=1e-9, max_epochs=5000)
-    best = svr_primal(rows, y, 2.0, 0.1, w)
+    objective = Local(rows, tube(y, 2.0, 0.1))
+    w = minimum(objective, np.zeros(rows.width))
+    best, _ = objective.at(w)
     for _ in range(50):
-        assert svr_primal(rows, y, 2.0, 0.1, w + rng.normal(0, 1e-3, len(w))) >= best - 1e-9
+        assert objective.at(w + rng.normal(0, 1e-3, len(w)))[0] >= best - 1e-9
+
+
+def test_spread_rows_give_the_same_plane(spark):
+    rows, rng = problem(5)
+    y = np.where(rng.random(60) < 0.4, 1.0, -1.0)
+    table = [(rows.column[rows.row == i].tolist(), rows.value[rows.row == i].tolist(), float(y[i]), 0.0, 2.0) for i in range(60)]
+    spread = spark.createDataFrame(table, "columns array<int>, values array<double>, y double, target double, cost double").repartition(3)
+    got = minimum(Spread(spread, rows.width, lambda y, target, cost: hinge(y, cost)), np.zeros(rows.width), 1e-4)
+    want = minimum(Local(rows, hinge(y, np.full(60, 2.0))), np.zeros(rows.width), 1e-4)
+    assert np.allclose(got, want, atol=1e-2)
 
 
 def test_hill_climb_doubles_then_turns():
@@ -218,6 +236,36 @@ def test_framed_streams_and_command_line(spark, corpus, tmp_path, capsys):
         framed.whole_files(spark, str(tmp_path / "missing")).count()
 
 
+def test_two_batches_and_bytes_that_are_no_text(spark, corpus, tmp_path, capsys):
+    """Batches are numbered apart; a byte that is not UTF-8 stops nothing."""
+    rows, store, model = corpus.collect(), str(tmp_path / "store"), str(tmp_path / "model")
+    framed.register(spark)
+    for name, label in (("good", 1.0), ("bad", 0.0)):
+        (tmp_path / name).write_bytes(b"".join(framed.frame(label, r.text.encode() + b" \xff\x80") for r in rows if r.label == label))
+        assert main(["--strategy=plain", "batch-learn", store, str(tmp_path / name)], spark) == 0
+    kept = FeatureStore(spark, store).read()
+    assert kept.count() == kept.select("doc_id").distinct().count() == 60
+    assert main(["--strategy=plain", "--C=1", "analyze", store, model], spark) == 0
+    (tmp_path / "score").write_bytes(framed.frame("a", b"sun sea \xff") + framed.frame("b", b"storm wreck \xc3"))
+    capsys.readouterr()
+    main(["batch-classify", model, str(tmp_path / "score")], spark)
+    got = dict(x.split("\t") for x in capsys.readouterr().out.split("\n") if "\t" in x)
+    assert float(got["a"]) > 0 > float(got["b"])
+
+
+def test_one_machine_a_topic_and_spread_training(spark, corpus, monkeypatch):
+    features = tokenize(corpus, "plain").cache()
+    topics = corpus.select("doc_id", F.when(F.col("label") > 0, "calm").otherwise("rough").alias("topic"))
+    found = OneVsRest(Parameters(strategy="plain", cost=1.0, intercept=1.0)).fit(features, topics)
+    scores = OneVsRest.transform(found, corpus, features).join(topics.withColumnRenamed("topic", "own"), "doc_id")
+    per = metrics.auroc(scores.withColumn("y", F.when(F.col("topic") == F.col("own"), 1).otherwise(-1)), ["topic"])
+    assert metrics.macro_mean(per).first()[0] > 0.98
+    monkeypatch.setattr(models, "LOCAL_CELLS", 0)
+    spread = OneVsRest(Parameters(strategy="plain", cost=1.0, intercept=1.0)).fit(features, topics.filter("topic = 'calm'").unionByName(topics.filter("topic <> 'calm'").withColumn("topic", F.lit(None).cast("string"))))
+    a, b = ({r.doc_id: r.score for r in m.transform(corpus, features).collect()} for m in (found["calm"], spread["calm"]))
+    assert all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
+
+
 def test_corpora(spark, tmp_path):
     page = '<REUTERS TOPICS="YES" LEWISSPLIT="TRAIN"><DATE>1-JAN</DATE><TOPICS><D>earn</D><D>ship</D></TOPICS><TEXT><TITLE>T</TITLE><BODY>a &lt; b</BODY></TEXT></REUTERS><REUTERS LEWISSPLIT="TEST"><TOPICS></TOPICS><TEXT>x</TEXT></REUTERS>'
     assert list(corpora.sgml_documents(page)) == [(False, False, ["earn", "ship"], "1-JAN", "Ta &lt; b"), (True, True, [], "", "x")]
