@@ -3,10 +3,13 @@
 Every DOM node has characters C, link characters LC, tags T and link tags LT
 below it.  Its composite density (Sun, Song and Liao, 2011) is C/T, scaled by
 a logarithm that falls with the share of links.  The node with the largest sum
-of its children's densities roots the main text; the smallest density on its
+of its children's densities roots the main text, or the article around it; the smallest density on its
 path to the body is the threshold below which parts made of links are cut.
-Menus, forms, adverts and the like go first, by their elements and by the
-words of their class and id; a part that wraps an article never does.
+Densities alone tell prose from links, but not an article from other prose: so
+no root is sought within parts that their elements, or the words of their class and id, mark as
+menus, forms, adverts, comments and the like, and such parts of the main text are cut.  A part that
+wraps an article is never one, nor is one whose words leave room for doubt (UNSURE) and which holds
+half of the page's prose or more.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import html as entities
 import math
 import re
 import sys
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,8 +49,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
 _ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "head", "caption"}
 _P_SCOPE = {"td", "th", "table", "caption", "button", "html", "body"}
-#: Elements, roles and words of class or id that mark no main text.
-DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "label", "input", "object", "audio", "video", "canvas", "fieldset"}
+#: Elements without prose; elements, roles and words of class or id that mark no main text (own choice).
+BARE = {"head", "button", "select", "label", "input", "object", "audio", "video", "canvas"}
+DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "advertorial", "adsense", "adslot", "sponsor", "sponsored", "sponsors", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu",
@@ -54,23 +59,42 @@ WORDS = {
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "trending",
     "comment", "comments", "commentlist", "disqus", "respond", "replies", "pagination", "pager", "search", "widget", "skip", "form", "copyright", "outbrain", "taboola",
 }
+#: Those of them that also name wrappers of main text.
+UNSURE = {
+    "search", "form", "related", "notice", "notices", "notification", "alert", "widget", "banner", "share", "sharing", "social", "recommended", "trending", "overlay", "disclaimer",
+    "copyright", "subscribe", "promo", "promotion", "sponsor", "sponsors", "sponsored", "login", "signup", "skip", "masthead", "respond", "replies", "subscription", "newsletter",
+}
 _KEEPS = {"article", "main"}
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "words", "hidden", "role", "chars", "link_chars", "tags", "link_tags", "keeps", "gone", "density")
+    __slots__ = ("name", "parent", "parts", "words", "hidden", "role", "chars", "link_chars", "tags", "link_tags", "keeps", "gone", "density", "paragraph")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.parts = name, parent, []
         self.words, self.hidden, self.role = (), False, ""
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.keeps, self.gone, self.density = False, False, 0.0
+        #: The open paragraph that a block within ends.
+        self.paragraph = self if name == "p" else None if parent is None or name in _P_SCOPE else parent.paragraph
+
+    def prose(self) -> int:
+        return self.chars - self.link_chars
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """(root, nodes in page order); parts of a node are child nodes and decoded strings.  Any input has a tree."""
     root = Node("#root", None)
     nodes, at, position = [root], root, 0
+    #: How many elements of a name are open.
+    opened: Counter[str] = Counter()
+
+    def up_to(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            opened[at.name] -= 1
+            at = at.parent
+
     for token in _TOKEN.finditer(page):
         if token.start() > position:
             at.parts.append(entities.unescape(page[position : token.start()]))
@@ -82,18 +106,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         name = sys.intern(name.lower())
         if token["close"] or token["close2"]:
-            found = at
+            found = at if opened[name] > 0 else None
             while found is not None and found.name != name:
                 found = None if found.name in ("table", "td", "th", "article", "body") and name not in BLOCK else found.parent
             if found is not None and found.parent is not None:
-                at = found.parent
+                up_to(found.parent)
             continue
-        if name in _ENDS_P:
-            above = at
-            while above is not None and above.name != "p" and above.name not in _P_SCOPE:
-                above = above.parent
-            if above is not None and above.name == "p":
-                at = above.parent
+        if name in _ENDS_P and at.paragraph is not None:
+            up_to(at.paragraph.parent)
         if ends := _ENDS.get(name):
             above, limit = at, _HOLDS[name]
             last = None
@@ -102,7 +122,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     last = above
                 above = above.parent
             if last is not None:
-                at = last.parent
+                up_to(last.parent)
         node = Node(name, at)
         at.parts.append(node)
         nodes.append(node)
@@ -118,15 +138,20 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     node.hidden = True
         if name not in VOID and not attributes.endswith("/"):
             at = node
+            opened[name] += 1
     if position < len(page):
         at.parts.append(entities.unescape(page[position:]))
     return root, nodes
 
 
-def _dropped(node: Node) -> bool:
-    if node.name in DROPPED or node.name == "header" or node.hidden or node.role in ROLES or not WORDS.isdisjoint(node.words):
-        return not node.keeps
-    return False
+def _marked(node: Node, prose: int) -> bool:
+    """Whether it is a menu, form, advert or the like, on a page with so much prose."""
+    if node.keeps or node.parent is None:
+        return False
+    if node.name in DROPPED or node.role in ROLES:
+        return True
+    words = WORDS.intersection(node.words)
+    return bool(words) and not (words <= UNSURE and 2 * node.prose() >= prose)
 
 
 def densities(nodes: list[Node]) -> Node:
@@ -136,7 +161,7 @@ def densities(nodes: list[Node]) -> Node:
         if node.parent is not None and (node.keeps or node.name in _KEEPS and WORDS.isdisjoint(node.words)):
             node.keeps = node.parent.keeps = True
     for node in nodes:
-        node.gone = node.parent is not None and _dropped(node)
+        node.gone = node.parent is not None and (node.name in BARE or node.hidden)
     for node in nodes:
         node.parts = [x for x in node.parts if isinstance(x, str) or not x.gone]
     for node in reversed(nodes):
@@ -159,17 +184,18 @@ def densities(nodes: list[Node]) -> Node:
 
 
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """(root of the main text, threshold)."""
+    """(root of the main text, threshold); marks as gone what is no main text."""
     body = densities(nodes)
     best, most = body, -1.0
-    inside = {id(body)}
+    inside, prose = {id(body)}, body.prose()
     for node in nodes:
-        if node.parent is not None and id(node.parent) in inside:
-            if node.gone:
+        if node is not body:
+            if node.parent is None or id(node.parent) not in inside or node.gone:
+                continue
+            if _marked(node, prose):
+                node.gone = True
                 continue
             inside.add(id(node))
-        elif node is not body:
-            continue
         total = sum(x.density for x in node.parts if not isinstance(x, str)) + sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         if total > most:
             best, most = node, total
@@ -203,6 +229,8 @@ def main_text(page: str | None) -> str:
             blocks[-1].append(item)
             continue
         block = item.name in BLOCK
+        if item.gone:
+            continue
         if not done and item is not best and block and item.density < threshold and item.link_chars > 0.8 * item.chars > 0:
             continue
         if block:

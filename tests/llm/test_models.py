@@ -298,6 +298,39 @@ def test_extraction_cases(page, text):
     assert extraction.main_text(page) == text
 
 
+def test_density_chooses_among_parts_that_nothing_marks(monkeypatch):
+    links = "".join(f"<li><a href='/{i}'>Some other page {i}</a></li>" for i in range(30))
+    prose = "".join(f"<p>Paragraph {i} says at some length what the page is about.</p>" for i in range(6))
+    page = f"<body><div class=x1><p>Welcome, dear reader</p><ul>{links}</ul></div><div class=x2>{prose}</div><div class=x3>All done</div></body>"
+    want = "\n".join(f"Paragraph {i} says at some length what the page is about." for i in range(6))
+    assert extraction.main_text(page) == want
+    chosen = extraction.main_node
+    monkeypatch.setattr(extraction, "main_node", lambda nodes: (chosen(nodes) and next(n for n in nodes if n.name == "body"), 0.0))
+    assert extraction.main_text(page) != want
+
+
+def test_prose_in_a_wrapper_of_doubtful_name_stays():
+    words = " ".join(f"word{i}" for i in range(120))
+    for name in ("search-result", "form-text", "related content", "notice", "widget-body"):
+        assert extraction.main_text(f"<body><div class='{name}'><p>{words}</p></div></body>") == words
+    assert extraction.main_text(f"<body><div id=comments><p>{words}</p></div><article><p>Short.</p></article></body>") == "Short."
+
+
+def test_extraction_of_long_and_deep_pages_takes_no_square_time():
+    import time
+
+    start = time.time()
+    assert extraction.main_text("<div><p>" * 30000 + "deep") == "deep"
+    assert extraction.main_text("<div>" * 30000 + "</span>" * 30000 + "deep") == "deep"
+    assert len(extraction.main_text("<p>" + "long " * 400_000)) == 5 * 400_000 - 1
+    assert time.time() - start < 60
+
+
+def test_extraction_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a", "t", 7), (1, "u", "<p>a", "t", 7), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((tuple(r) for r in extraction.extract(rows).collect()), key=str) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=str)
+
+
 def test_extraction_of_nothing(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
