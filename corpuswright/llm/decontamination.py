@@ -1,29 +1,37 @@
-"""Benchmark decontamination by exact weighted similarity of windows.
+"""Benchmark decontamination by fingerprints of item-sized windows.
 
 Every benchmark item of m words is compared with the documents' windows of m
 words by five-word shingles: sum of minima over sum of maxima of the shingles'
-counts.  A window without any shingle of the item has similarity 0, so the
-places where documents have a benchmark's shingle are found first, by a set or
-a join; a pair of a text and an item with enough of them is then compared at
-every window that can be best.  No pair that passes is lost.
-
-SimHash fingerprints of windows and their multi-index Hamming blocks are here
-as functions; matches do not pass through them, since at similarity 0.75 a
-radius that loses nothing (about 24 of 64 bits) lets nearly every block match.
+counts.  A window without any shingle of the item has similarity 0, so windows
+are taken where documents have a benchmark's shingle, found first by a set or a join.
+
+Each window and item has FINGERPRINTS SimHash fingerprints of 64 bits, each of its own
+hashes.  A text and an item are candidates if any window is within the radius of
+the item by any of them; blocks of the bits come first, since two fingerprints within
+the radius are alike, but for a quarter of it, in one of four blocks at least.  The radius is such that one fingerprint
+misses about 7 in 100 windows at the least similarity that counts; four miss all about 2 in 100,000, and fewer above it.
+Candidates are then compared exactly at every window that can be best.
 Everything runs as DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import written
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
-RADIUS, BLOCKS = 15, 4
+RADIUS, BLOCKS, FINGERPRINTS = 15, 4, 4
 BLOCK_BITS = 64 // BLOCKS
+#: The lowest bit of each byte; and up to how many shingles a byte counts them.
+_LANES, _LANE_MOST = 0x0101010101010101, 63
 #: Up to this many benchmark shingles the documents are sifted by a set inside the expression, beyond it by a join.
 SET_SHINGLES = 50_000
 
@@ -51,6 +59,34 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), weight), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
 
 
+def fingerprint(shingles: Column, number: int) -> Column:
+    """The window's SimHash by the ``number``-th hash of its shingles.
+
+    Eight sums count all 64 bits, one byte a bit, where there are few enough shingles.
+    """
+    marks = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(number)))
+    n = F.size(shingles)
+    none = F.lit(0).cast("bigint")
+    sums = [F.aggregate(marks, none, lambda s, x: s + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_LANES))) for j in range(8)]
+    #: A byte's next to last bit is set where it counts more than half.
+    majority = lambda c: F.shiftrightunsigned(c + (F.lit(_LANE_MOST) - F.floor(n / 2)) * F.lit(_LANES), 6).bitwiseAND(F.lit(_LANES))
+    bits = reduce(Column.bitwiseOR, [F.shiftleft(majority(c), j) for j, c in enumerate(sums)])
+    return F.when(n <= _LANE_MOST, bits).otherwise(simhash(marks))
+
+
+def radius_for(similarity: float) -> int:
+    """Bits of 64 that a fingerprint may differ in: the mean at this similarity and four thirds of a deviation."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * differ + 1.33 * math.sqrt(64 * differ * (1 - differ)))
+
+
+def near(a: Column, b: Column, radius: int = RADIUS) -> Column:
+    """Whether fingerprints are within the radius; one in four blocks is within a quarter of it then."""
+    turned = a.bitwiseXOR(b)
+    block = lambda i: F.bit_count(F.shiftrightunsigned(turned, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
+    return reduce(or_, [block(i) <= radius // BLOCKS for i in range(BLOCKS)]) & (F.bit_count(turned) <= radius)
+
+
 def blocks_of(fingerprint: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("value")) for i in range(BLOCKS)])
 
@@ -102,42 +138,59 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     n = known.select(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     texts = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).drop("text")
     hashed = once(texts.withColumn("n_words", F.size("words")), "shingles", shingle_hashes(F.col("words"))).drop("words")
-    #: Texts of the same id are told apart by their shingles.
+    #: Texts of the same id are told apart by their shingles, and equal texts are compared once.
     keyed = hashed.select("doc_id", F.xxhash64("shingles").alias("text_key"), "n_words", "shingles")
     if n <= SET_SHINGLES:
         wanted = [r[0] for r in entries.select("hash").distinct().collect()] or [0]
-        held = once(keyed, "at", F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())).filter(F.size("at") > 0)
-        shared = held.select("doc_id", "text_key", "n_words", F.inline(F.transform("at", lambda i: F.struct(i.alias("i"), F.element_at("shingles", i + 1).alias("hash")))))
-        return best_windows(shared.join(F.broadcast(entries), "hash"), similarity)
-    #: Too many for a set: each place is joined by its shingle alone.
-    return best_windows(keyed.select("doc_id", "text_key", "n_words", F.posexplode("shingles").alias("i", "hash")).join(entries, "hash"), similarity)
-
-
-def best_windows(met: DataFrame, similarity: float) -> DataFrame:
-    """Best windows from ``met``: a row for each place i of a text (doc_id, text_key, n_words) with a shingle
-    (hash) that an item (item_id, item_key, m) has n times.
+        some = keyed.filter(F.exists("shingles", lambda h: h.isin(wanted)))
+    else:  # too many for a set
+        hit = keyed.select("text_key", F.explode(F.array_distinct("shingles")).alias("hash")).join(entries.select("hash"), "hash", "left_semi").select("text_key").distinct()
+        some = keyed.join(hit, "text_key", "left_semi")
+    held = written(some.select("doc_id", "text_key", "n_words", "shingles"), "held")
+    once_each = held.dropDuplicates(["text_key"]).select("text_key", "n_words", "shingles")
+    met = once_each.select("text_key", "n_words", F.posexplode("shingles").alias("i", "hash")).join(entries, "hash")
+    best = best_windows(met, once_each, known, similarity)
+    named = held.select("doc_id", "text_key").distinct().join(best, "text_key")
+    #: Different texts of one id may hold the same item.
+    first = F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w")
+    return named.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "w.start", "w.length", "w.similarity")
+
+
+def best_windows(met: DataFrame, texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Best windows (text_key, item_id, start, length, similarity) from ``met``: a row for each place i of a text
+    (text_key, n_words) with a shingle (hash) that an item (item_id, item_key, m) has n times.
 
     A window's common shingles are counted by their places alone: of equal ones as many as the item has, so a
     place counts where the n-th equal one before it (``q``) lies before the window.  The count grows only
     where a window's last shingle is a shared one, so those windows, and the document's first, hold the best.
     """
     met = met.filter((F.col("m") >= SHINGLE_WORDS) | (F.col("n_words") == F.col("m")))
-    pair = ["doc_id", "text_key", "n_words", "item_id", "item_key", "m"]
+    pair = ["text_key", "n_words", "item_id", "item_key", "m"]
     equal = met.groupBy(*pair, "hash", "n").agg(F.sort_array(F.collect_set("i")).alias("is"))
     placed = equal.select(*pair, F.transform("is", lambda p, j: F.struct(p.alias("p"), F.when(j >= F.col("n"), F.get("is", j - F.col("n"))).otherwise(-1).alias("q"))).alias("places"))
     spans = placed.groupBy(*pair).agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
     of_words = lambda c: F.greatest(c - (SHINGLE_WORDS - 1), F.lit(1))
-    sized = spans.select("doc_id", "item_id", "n_words", "m", "places", of_words(F.least("m", "n_words")).alias("span"), of_words(F.col("m")).alias("wanted"))
+    sized = spans.select("text_key", "item_id", "item_key", "n_words", "m", "places", of_words(F.least("m", "n_words")).alias("span"), of_words(F.col("m")).alias("wanted"))
     value = lambda common: common / (F.col("span") + F.col("wanted") - common)
     #: A pair with too few shared places in all is done with.
     able = sized.filter(value(F.least(F.size("places"), "span")) >= similarity)
-    ends = once(able, "k", F.sequence(F.lit(0), F.size("places") - 1)).withColumn("k", F.explode("k"))
-    first = F.greatest(F.get("places", F.col("k"))["p"] - F.col("span") + 1, F.lit(0))
-    seen = ends.withColumn("start", first).withColumn("near", F.slice("places", F.greatest(F.col("k") - F.col("span") + 2, F.lit(1)), F.least(F.col("span"), F.col("k") + 1)))
+    first = lambda k: F.greatest(F.get("places", k)["p"] - F.col("span") + 1, F.lit(0))
+    prints = once(known.select("item_key", "item").dropDuplicates(["item_key"]), "prints", F.array(*[fingerprint(F.col("item"), t) for t in range(FINGERPRINTS)])).drop("item")
+    radius = radius_for(similarity)
+
+    def close(k: Column) -> Column:
+        window = F.slice("shingles", first(k) + 1, F.col("span"))
+        return reduce(or_, [near(fingerprint(window, t), F.get("prints", F.lit(t)), radius) for t in range(FINGERPRINTS)])
+
+    with_prints = able.join(prints, "item_key").join(texts.select("text_key", "shingles"), "text_key")
+    #: From the last window on, as most of a passage's shingles are behind its later ones.
+    candidates = with_prints.filter(F.exists(F.sequence(F.size("places") - 1, F.lit(0)), close)).drop("shingles", "prints")
+    ends = candidates.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("places") - 1)))
+    seen = ends.withColumn("start", first(F.col("k"))).withColumn("near", F.slice("places", F.greatest(F.col("k") - F.col("span") + 2, F.lit(1)), F.least(F.col("span"), F.col("k") + 1)))
     common = F.size(F.filter("near", lambda x: (x["p"] >= F.col("start")) & (x["q"] < F.col("start"))))
-    pairs = seen.select("doc_id", "item_id", "start", F.least("m", "n_words").alias("length"), value(common).alias("similarity")).filter(F.col("similarity") >= similarity)
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
-    return best.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.length").cast("long").alias("length"), F.col("w.similarity").alias("similarity"))
+    pairs = seen.select("text_key", "item_id", "start", F.least("m", "n_words").alias("length"), value(common).alias("similarity")).filter(F.col("similarity") >= similarity)
+    best = pairs.groupBy("text_key", "item_id").agg(F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
+    return best.select("text_key", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.length").cast("long").alias("length"), F.col("w.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
