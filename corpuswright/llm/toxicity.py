@@ -42,7 +42,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 LANDMARKS_TOXIC, LANDMARKS_CLEAN = 160, 96
 ROUNDS = 3
 #: Segment scores that a worker keeps between batches; beyond it the older half is dropped.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 150_000
 
 _STEPS = np.array(list(itertools.combinations(range(1, SPAN), ORDER - 1)))
 _WEIGHTS = (DECAY ** (_STEPS[:, -1] + 1 - ORDER)).astype(np.float32)
@@ -98,11 +98,11 @@ def subsequences(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, weight, np.sqrt(np.maximum((key < BUCKETS) @ weight**2, 1e-9))
 
 
-def _batches(found: list[str]):
+def _batches(found: list[str], most: int = 512):
     """Index ranges of segments of like length, so that padding stays small."""
     order = np.argsort([len(s) for s in found], kind="stable")
-    for a in range(0, len(order), 512):
-        yield order[a : a + 512]
+    for a in range(0, len(order), most):
+        yield order[a : a + most]
 
 
 @dataclass
@@ -149,7 +149,7 @@ def likeness(found: list[str], landmarks: list[str]) -> np.ndarray:
     rows, cols = np.nonzero(key < BUCKETS)
     np.add.at(table, (place[key[rows, cols]], rows), weight[cols] / length[rows])
     out = np.zeros((len(found), len(landmarks)), np.float32)
-    for at in _batches(found):
+    for at in _batches(found, 64):
         key, weight, length = subsequences([found[i] for i in at])
         where = place[key]
         rows, cols = np.nonzero(where >= 0)
@@ -161,16 +161,19 @@ def likeness(found: list[str], landmarks: list[str]) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0, rounds: int = 25) -> np.ndarray:
     """Primal squared-hinge machine by Newton steps on its active rows; the last coefficient is the bias."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
+    x = np.append(x, np.ones((len(x), 1), x.dtype), 1)
     w = np.zeros(x.shape[1])
     keep = np.ones(len(w))
     keep[-1] = 1e-3
     for _ in range(rounds):
         slack = 1 - y * (x @ w)
         on = slack > 0
-        c = cost * weight[on]
-        gradient = keep * w - 2 * x[on].T @ (c * y[on] * slack[on])
-        hessian = np.diag(keep) + 2 * (x[on] * c[:, None]).T @ x[on]
+        gradient, hessian = keep * w, np.diag(keep)
+        for a in range(0, len(on), 4096):  # few rows at a time, in double precision
+            some = np.flatnonzero(on[a : a + 4096]) + a
+            part = x[some].astype(np.float64)
+            gradient -= 2 * part.T @ (cost * weight[some] * y[some] * slack[some])
+            hessian += 2 * (part * (cost * weight[some])[:, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -181,21 +184,26 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0, rou
 def _odds(found: list[str], toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """First guess: a segment's best letter run, by the lower bound of its log odds among toxic documents."""
     best = np.full(len(found), -9.0)
-    most = max(map(len, found), default=0) + 2
-    codes = np.array([f"\x01{s}\x02" for s in found], dtype=f"<U{most}").view(np.uint32).reshape(len(found), most).astype(np.int64)
+
+    def runs(n: int):
+        """(segments, bucket of each run of n letters, where there is one), for some segments at a time."""
+        for rows in _batches(found, 20_000):
+            most = max(len(found[rows[-1]]) + 2, n)
+            codes = np.array([f"\x01{found[i]}\x02" for i in rows], dtype=f"<U{most}").view(np.uint32).reshape(len(rows), most)
+            key = np.zeros((len(rows), most - n + 1), np.uint32)
+            for j in range(n):
+                key = key * np.uint32(0x01000193) ^ codes[:, j : most - n + 1 + j] * np.uint32(0x9E3779B1)
+            yield rows, key >> np.uint32(12), codes[:, n - 1 :] > 0
+
     for n in (4, 5, 6):
-        if most < n:
-            continue
-        key = np.zeros((len(found), most - n + 1), np.int64)
-        for j in range(n):
-            key = key * 1000003 + codes[:, j : most - n + 1 + j]
-        key = (key * 0x5851F42D4C957F2D >> 30) & (BUCKETS - 1)
-        there = codes[:, n - 1 :] > 0
-        rows = np.broadcast_to(np.arange(len(found))[:, None], key.shape)[there]
-        t = np.bincount(key[there], toxic[rows], BUCKETS)
-        c = np.bincount(key[there], clean[rows], BUCKETS)
+        t, c = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for rows, key, there in runs(n):
+            owner = np.broadcast_to(rows[:, None], key.shape)[there]
+            t += np.bincount(key[there], toxic[owner], BUCKETS)
+            c += np.bincount(key[there], clean[owner], BUCKETS)
         odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / (clean.sum() + 1)) - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        best = np.maximum(best, np.where(there, odds[key], -9).max(1))
+        for rows, key, there in runs(n):
+            best[rows] = np.maximum(best[rows], np.where(there, odds[key], -9).max(1))
     return best
 
 
@@ -213,12 +221,16 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
     none = Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, even, [])
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    #: Each document as the distinct segments, or their pieces, of each of its sentences.
-    bags = [[{index.setdefault(part, len(index)) for s in x for part in parts_of(s)} for x in sentences(t)] for t in toxic + clean]
+
+    def numbered(found: set[str]) -> np.ndarray:
+        return np.array(sorted({index.setdefault(part, len(index)) for s in found for part in parts_of(s)}), np.int32)
+
+    #: Each toxic document as the distinct segments, or their pieces, of each of its sentences; a clean one as all of them.
+    bags = [[numbered(x) for x in sentences(t)] for t in toxic]
+    docs = [np.unique(np.concatenate(b)) for b in bags] + [numbered(set().union(*sentences(t))) for t in clean]
     found = list(index)
     if not toxic or not clean or not found:
         return none
-    docs = [np.array(sorted(set().union(*b)), np.int64) for b in bags]
     seen = np.zeros((2, len(found)))
     for i, d in enumerate(docs):
         seen[int(i >= len(toxic)), d] += 1
@@ -227,11 +239,10 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
     for turn in range(ROUNDS):
         #: The segments that stand for each toxic sentence: those near the document's highest.
         witness *= 0.5
-        for b, d in zip(bags[: len(toxic)], docs):
+        for b, d in zip(bags, docs):
             if len(d) and score[d].max() > floor:
                 low = max(floor, 0.6 * score[d].max())
-                for sentence in b:
-                    members = np.fromiter(sentence, np.int64, len(sentence))
+                for members in b:
                     witness[members[score[members] >= low]] += 1
         #: A segment as common in clean documents stands for no toxic sentence.
         positive = np.flatnonzero((witness > 0) & (seen[0] / len(toxic) > 2 * seen[1] / len(clean)))
@@ -254,7 +265,7 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
             root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
         names = [found[i] for i in positive]
         disguised = [_disguised(s, rng) for s in names]
-        x = likeness(names + disguised + [found[i] for i in negative], landmarks) @ root
+        x = likeness(names + disguised + [found[i] for i in negative], landmarks) @ root.astype(np.float32)
         y = np.concatenate([np.ones(2 * len(names)), -np.ones(len(negative))])
         share = np.sqrt(witness[positive])
         weight = np.concatenate([share / share.sum(), 0.5 * share / share.sum(), np.sqrt(seen[1][negative]) / np.sqrt(seen[1][negative]).sum()]) * 1000

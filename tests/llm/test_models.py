@@ -354,3 +354,17 @@ def test_steps_grow_with_the_windows():
     parts = [(np.arange(n) % 50, np.array([n])) for n in (100, 1000, 5, 333)]
     windows = sum(len(lm.windows_of(*p)[0]) for p in parts)
     assert lm.refine(model, iter(parts), 0.001) == -(-windows // lm.LEARN_EVERY)
+
+
+def test_toxicity_summaries_are_the_same_in_training_and_scoring(monkeypatch):
+    """Repeats of a word count once whatever is beside it; spelled words count wherever their letters stand."""
+    toxic, clean = ["you are an idiot and all know it", "that moron sat"] * 20, ["the cat sat on the mat", "all the good things come"] * 20
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrate", lambda z, *_: seen.append(z) or np.array([1.0, 0.0, 0.0, -1.0]))
+    machine = toxicity.train(toxic, clean, 0.5)
+    assert np.allclose(seen[0], toxicity.Scorer(machine)(pa.array(toxic + clean)))
+    same = toxicity.Scorer(machine)(pa.array(["idiot, idiot. idiot! (idiot) calm", "idiot calm", "calm IDIOT", "i, d, i -- o. t", "i d i o t", "i d\ni o t"]))
+    assert np.allclose(same[0], same[1]) and np.allclose(same[1], same[2])
+    assert np.allclose(same[3], same[4]) and np.allclose(same[4], same[5]) and same[3][0] > 0
+    long = "x" * 100 + "idiot" + "y" * 50
+    assert toxicity.Scorer(machine)(pa.array([long]))[0][0] > 0
