@@ -169,20 +169,26 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample_docs: int = SAMP
     return train(got["text"].tolist(), got["lang"].tolist())
 
 
-def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray]:
-    """(language, score) for each whole text; ``und`` with score 0 where a text has no letter."""
-    names, scores = [], []
+def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, confidence) for each whole text; ``und``, 0 and 0 where a text has no letter.
+
+    The score is the probability of the text, which nears 1 as any text grows;
+    the confidence is the geometric mean of its windows' probabilities.
+    """
+    names, scores, means = [], [], []
     for a, b in pieces(texts):
         part = texts.slice(a, b - a)
         data, offsets = utf8(part)
         windows, docs, weight = windows_of(data, offsets)
         total = np.zeros((b - a, max(1, len(net.languages))))
+        length = np.bincount(docs, weight / WINDOW, b - a)
         if len(net.languages) and len(windows):
             for x in range(0, len(windows), 4096):
                 y = slice(x, x + 4096)
                 logs = net.log_probabilities(windows[y]).astype(np.float64) * (weight[y] / WINDOW)[:, None]
                 cuts = np.flatnonzero(np.diff(docs[y], prepend=-1))
                 np.add.at(total, docs[y][cuts], np.add.reduceat(logs, cuts))
+        mean = np.exp(total.max(1) / np.maximum(length, 1))
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -190,19 +196,21 @@ def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray]:
             if net.languages and t and any(map(str.isalpha, t)):
                 names.append(net.languages[best[i]])
                 scores.append(float(p[i, best[i]]))
+                means.append(float(mean[i]))
             else:
                 names.append(UNKNOWN)
                 scores.append(0.0)
-    return names, np.array(scores)
+                means.append(0.0)
+    return names, np.array(scores), np.array(means)
 
 
 def predictor(net: ByteNet):
-    """An Arrow function of a text column: struct(lang_pred, score)."""
+    """An Arrow function of a text column: struct(lang_pred, score, confidence)."""
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, confidence: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = score(texts, net)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        names, scores, means = score(texts, net)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(means, pa.float64())], names=["lang_pred", "score", "confidence"])
 
     return predict
 

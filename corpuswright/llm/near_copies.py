@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, partitions, release
+from ._spark import checkpointed, fresh, partitions, release
 from ._words import mix, pieces, shingle_sets
 
 PERCENT = 75
@@ -53,8 +53,12 @@ def mark(shingles: np.ndarray) -> np.int64:
     return np.add.reduce(mix(shingles ^ _SALT)).view(np.int64)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64("text").alias("text_hash")
+
+
 def set_marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, text_hash, n_shingles, node) of every row; id and hash lead back to the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,9 +66,9 @@ def set_marks(docs: DataFrame) -> DataFrame:
             for s in shingle_sets(batch.column("text")):
                 n.append(len(s))
                 marks.append(mark(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def _least_overlap(n: np.ndarray | int, percent: int):
@@ -267,15 +271,8 @@ def cross_links(prefix: DataFrame, label: DataFrame, known: DataFrame, sets: Dat
     return checkpointed(linked(overlaps(pairs, sets), percent))
 
 
-def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row for each input row: doc_id, n_shingles, component_id.
-
-    A null or empty text has no shingle and links with nothing: its component
-    is its own doc_id.  Rows with equal sets share a component, repeated rows
-    and rows of one doc_id too.  A row of a null doc_id takes part as a copy
-    of others, but never names a component unless there is no other.  An empty
-    table gives no rows.
-    """
+def labelled_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component) of every row; a row without a shingle has no component."""
     spark = docs.sparkSession
     marks = checkpointed(set_marks(docs))
     chosen = candidates(docs, marks, percent)
@@ -293,16 +290,34 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     second = cross_links(prefix, label, known, sets, percent)
     release(spark)
     joined = components(nodes, first.unionByName(second))
-    rows = marks.join(joined, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
+    return marks.join(joined, "node", "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
+
+
+def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row for each input row: doc_id, n_shingles, component_id.
+
+    A null or empty text has no shingle and links with nothing: its component
+    is its own doc_id.  Rows with equal sets share a component, repeated rows
+    too.  A row of a null doc_id takes part as a copy of others, but never
+    names a component unless there is no other.  An empty table gives no rows.
+    """
+    rows = labelled_rows(docs, percent)
     names = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("name"))
     return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all their columns, with one of each component: its smallest doc_id, once.
+    """The documents, all their columns, with one of each component: that of the smallest doc_id, once.
 
-    Documents without a shingle are alone in their component; rows of a null id stay.
+    A row of a null id stays only if its component has no other id; of rows
+    with one id, that whose text's hash is least.  Rows of one id that nothing
+    links all stay, as do all without a shingle, repeated ones included.
     """
-    ids = near_copies(docs, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = labelled_rows(docs, percent).filter("component is not null")
+    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("kept"))
+    at, kept_id, kept_hash = fresh(), fresh(), fresh()
+    kept = least.select(F.col("kept.doc_id").alias(kept_id), F.col("kept.text_hash").alias(kept_hash))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(has_words).withColumn(at, F.xxhash64("text"))
+    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(at) == F.col(kept_hash)), "left_semi")
+    return chosen.dropDuplicates(["doc_id", at]).drop(at).unionByName(docs.filter(~has_words))

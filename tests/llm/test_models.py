@@ -368,3 +368,19 @@ def test_toxicity_summaries_are_the_same_in_training_and_scoring(monkeypatch):
     assert np.allclose(same[3], same[4]) and np.allclose(same[4], same[5]) and same[3][0] > 0
     long = "x" * 100 + "idiot" + "y" * 50
     assert toxicity.Scorer(machine)(pa.array([long]))[0][0] > 0
+
+
+def test_confidence_does_not_grow_with_length():
+    net = langid.train(["the cat sat on the mat and that was it " * 9, "el gato se sienta en la mesa y nada mas " * 9] * 4, ["en", "es"] * 4, steps=40)
+    text = "the cat sat on the mat and el gato y nada "
+    texts = [text * n for n in (1, 20, 200)] + ["", None, "12 !"]
+    names, scores, means = langid.score(pa.array(texts, pa.string()), net)
+    for t, name, score, mean in zip(texts[:3], names, scores, means):
+        data = np.frombuffer(t.encode(), np.uint8)
+        windows, _, weight = langid.windows_of(data, np.array([0, len(data)]))
+        total = (net.log_probabilities(windows).astype(float) * (weight / langid.WINDOW)[:, None]).sum(0)
+        best = net.languages.index(name)
+        assert best == total.argmax() and abs(np.log(mean) - total[best] / (weight.sum() / langid.WINDOW)) < 1e-5
+        assert abs(score - 1 / np.exp(total - total[best]).sum()) < 1e-5
+    assert abs(np.log(means[2]) - np.log(means[1])) < 0.3
+    assert names[3:] == ["und"] * 3 and not scores[3:].any() and not means[3:].any()

@@ -96,10 +96,11 @@ def test_components_of_long_chains(spark):
 
 
 def test_keep_one_keeps_columns_and_smallest_ids(spark):
-    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words are here to stay", "z"), (3, "other words are here to stay", "z"), (4, None, "n"), (None, "a b c d e f g", "q")]
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "other words are here to stay", "z"), (3, "other words are here to stay", "z"), (4, None, "n"), (None, "a b c d e f g", "q"), (None, "of no id and no copy at all", "q"), (None, "of no id and no copy at all", "q"), (3, "one id but not one text at all", "z"), (None, None, "n"), (None, " \n", "n")]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node string"))
     assert kept.columns == ["doc_id", "text", "node"]
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, rows[0][1]), (3, rows[2][1]), (4, None), (None, "of no id and no copy at all"), (3, "one id but not one text at all"), (None, None), (None, " \n")], key=str)
 
 
 def brute_matches(docs, items, least=0.75):
