@@ -11,8 +11,9 @@ from corpuswright.llm import decontamination, langid, near_copies, packing
 from corpuswright.llm import toxicity as toxic
 from corpuswright.llm._spark import fresh, shared_folder, table
 
-#: A document whose language scores less than this is rejected, as one without a letter is.
-LANGUAGE_SCORE = 0.3
+#: A document is rejected if its windows' probabilities of its language are less than this on (geometric) average,
+#: as one without a letter is.
+LANGUAGE_CONFIDENCE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +24,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows, with what it predicts as fair as by chance or better."""
+    """Documents in a language that the network knows, which it finds likelier than not in their windows, at any length."""
     net = langid.fit(docs)
     name = fresh()
     scored = docs.withColumn(name, langid.predictor(net)("text"))
-    return scored.filter((F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["score"] >= LANGUAGE_SCORE)).drop(name)
+    return scored.filter((F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["confidence"] >= LANGUAGE_CONFIDENCE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links."""
+    """One document of each group that the n-gram Jaccard join links; what it links with nothing stays."""
     return near_copies.keep_one(docs)
 
 
