@@ -2,9 +2,11 @@
 
 A text's bytes (A-Z folded) are cut into windows of fixed length.  In each,
 byte embeddings pass through filters of several widths, a rectifier and a
-maximum over positions, and a softmax over the languages.  A text's language
-is the one with the largest sum of log-probabilities over all its windows,
-each but the first weighted by the bytes it adds.  The network is trained here, in numpy.
+maximum over positions, and a softmax over the languages and one more class,
+noise, for bytes of no language: it learns from windows whose bytes are shuffled
+or drawn at random.  A text's language is the one with the largest sum of
+log-probabilities over all its windows, each but the first weighted by the bytes
+it adds; noise is never a language.  The network is trained here, in numpy.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SAMPLE_PART = 8
 SAMPLE_WINDOWS = 8000
 STEPS = 260
 BATCH = 64
+#: Windows of noise in a batch.
+NOISE = 16
 UNKNOWN = "und"
 
 #: Places of a filter in a window, the same for every width.
@@ -66,6 +70,7 @@ class ByteNet:
         return np.maximum(out + np.concatenate(self.biases), 0)
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
+        """(windows, languages and last noise)."""
         z = self.features(windows) @ self.out + self.out_bias
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
@@ -89,8 +94,19 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> t
     return found, docs, weight
 
 
+def noise(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of no language: half of the given ones with their bytes shuffled, half drawn evenly from 2 to 256 byte
+    values, which lie anywhere or (up to 64) in a row, as digits, base64 and other scripts do."""
+    out = rng.permuted(windows, axis=1)
+    for row in out[: len(out) // 2]:
+        size = int(2 ** rng.uniform(1, 8))
+        values = rng.permutation(256)[:size] if rng.random() < 0.5 else (rng.integers(33, 256) + np.arange(min(size, 64))) % 256
+        row[:] = values[rng.integers(len(values), size=len(row))]
+    return _FOLD[out]
+
+
 def train(texts: list[str], languages: list[str], steps: int = STEPS, seed: int = 0) -> ByteNet:
-    """Adam on balanced batches of windows; whole texts give windows, at random places."""
+    """Adam on batches of windows, of each language as many, and noise made of some of them."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
     data, offsets = utf8(pa.array(texts, pa.large_string()))
@@ -100,15 +116,16 @@ def train(texts: list[str], languages: list[str], steps: int = STEPS, seed: int
         pick = np.sort(rng.permutation(len(windows))[:SAMPLE_WINDOWS])
         windows, labels = windows[pick], labels[pick]
     f32 = np.float32
-    net = ByteNet(names, rng.normal(0, 0.5, (256, EMBEDDING)).astype(f32), [rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w * EMBEDDING, FILTERS)).astype(f32) for w in WIDTHS], [np.zeros(FILTERS, f32) for _ in WIDTHS], rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))).astype(f32), np.zeros(len(names), f32))
-    if len(names) < 2 or not len(windows):
+    net = ByteNet(names, rng.normal(0, 0.5, (256, EMBEDDING)).astype(f32), [rng.normal(0, (2 / (w * EMBEDDING)) ** 0.5, (w * EMBEDDING, FILTERS)).astype(f32) for w in WIDTHS], [np.zeros(FILTERS, f32) for _ in WIDTHS], rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names) + 1)).astype(f32), np.zeros(len(names) + 1, f32))
+    if not len(windows):
         return net
     by = [np.flatnonzero(labels == i) for i in range(len(names))]
     params = net.parameters()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
         rows = np.concatenate([x[rng.integers(len(x), size=BATCH // len(names) + 1)] for x in by if len(x)])
-        grads = _gradients(net, windows[rows], labels[rows], rng)
+        made = noise(windows[rng.integers(len(windows), size=NOISE)], rng)
+        grads = _gradients(net, np.concatenate([windows[rows], made]), np.concatenate([labels[rows], np.full(NOISE, len(names))]), rng)
         rate = 0.01 * (1 - t / (steps + 1)) + 1e-4
         for p, g, a, b in zip(params, grads, m, v):
             a += 0.1 * (g - a)
@@ -172,25 +189,27 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample_docs: int = SAMP
 def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, confidence) for each whole text; ``und``, 0 and 0 where a text has no letter.
 
-    The score is the probability of the text, which nears 1 as any text grows;
-    the confidence is the geometric mean of its windows' probabilities.
+    The score is the probability among the languages, which nears 1 as any text grows;
+    the confidence is the geometric mean of its windows' probabilities of being no noise, whichever their language.
     """
     names, scores, means = [], [], []
     for a, b in pieces(texts):
         part = texts.slice(a, b - a)
         data, offsets = utf8(part)
         windows, docs, weight = windows_of(data, offsets)
-        total = np.zeros((b - a, max(1, len(net.languages))))
+        total = np.zeros((b - a, len(net.languages) + 1))
         length = np.bincount(docs, weight / WINDOW, b - a)
         if len(net.languages) and len(windows):
             for x in range(0, len(windows), 4096):
                 y = slice(x, x + 4096)
-                logs = net.log_probabilities(windows[y]).astype(np.float64) * (weight[y] / WINDOW)[:, None]
+                logs = net.log_probabilities(windows[y]).astype(np.float64)
+                logs[:, -1] = np.logaddexp.reduce(logs[:, :-1], axis=1)
+                logs *= (weight[y] / WINDOW)[:, None]
                 cuts = np.flatnonzero(np.diff(docs[y], prepend=-1))
                 np.add.at(total, docs[y][cuts], np.add.reduceat(logs, cuts))
-        mean = np.exp(total.max(1) / np.maximum(length, 1))
-        p = np.exp(total - total.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        mean = np.exp(np.minimum(total[:, -1] / np.maximum(length, 1), 0))
+        p = np.exp(total[:, :-1] - total[:, :-1].max(1, keepdims=True, initial=-np.inf)) if net.languages else total
+        p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
         best = p.argmax(1)
         for i, t in enumerate(part.to_pylist()):
             if net.languages and t and any(map(str.isalpha, t)):

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from corpuswright.llm import extraction, langid, lm, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -370,17 +371,38 @@ def test_toxicity_summaries_are_the_same_in_training_and_scoring(monkeypatch):
     assert toxicity.Scorer(machine)(pa.array([long]))[0][0] > 0
 
 
-def test_confidence_does_not_grow_with_length():
+def plain_log_probabilities(net, window):
+    """One window by loops: each filter's largest response, then the softmax."""
+    features = []
+    for filters, biases, width in zip(net.filters, net.biases, langid.WIDTHS):
+        for k in range(langid.FILTERS):
+            found = [sum(float(net.embedding[window[at + i], e]) * float(filters[i * langid.EMBEDDING + e, k]) for i in range(width) for e in range(langid.EMBEDDING)) for at in range(langid.WINDOW - max(langid.WIDTHS) + 1)]
+            features.append(max(0.0, max(found) + float(biases[k])))
+    z = np.array(features) @ net.out.astype(float) + net.out_bias
+    return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+
+def test_language_scores_against_plain_convolution():
     net = langid.train(["the cat sat on the mat and that was it " * 9, "el gato se sienta en la mesa y nada mas " * 9] * 4, ["en", "es"] * 4, steps=40)
-    text = "the cat sat on the mat and el gato y nada "
-    texts = [text * n for n in (1, 20, 200)] + ["", None, "12 !"]
+    texts = ["The cat sat on the mat and el gato y nada " * n for n in (1, 9)] + ["", None, "12 !"]
     names, scores, means = langid.score(pa.array(texts, pa.string()), net)
-    for t, name, score, mean in zip(texts[:3], names, scores, means):
-        data = np.frombuffer(t.encode(), np.uint8)
+    for t, name, score, mean in zip(texts[:2], names, scores, means):
+        data = np.frombuffer(t.lower().encode(), np.uint8)
         windows, _, weight = langid.windows_of(data, np.array([0, len(data)]))
-        total = (net.log_probabilities(windows).astype(float) * (weight / langid.WINDOW)[:, None]).sum(0)
-        best = net.languages.index(name)
-        assert best == total.argmax() and abs(np.log(mean) - total[best] / (weight.sum() / langid.WINDOW)) < 1e-5
-        assert abs(score - 1 / np.exp(total - total[best]).sum()) < 1e-5
-    assert abs(np.log(means[2]) - np.log(means[1])) < 0.3
-    assert names[3:] == ["und"] * 3 and not scores[3:].any() and not means[3:].any()
+        logs = np.array([plain_log_probabilities(net, w) for w in windows])
+        total = (logs[:, :2] * (weight / langid.WINDOW)[:, None]).sum(0)
+        assert net.languages.index(name) == total.argmax() and abs(score - 1 / np.exp(total - total.max()).sum()) < 1e-4
+        assert abs(np.log(mean) - np.average(np.log(1 - np.exp(logs[:, 2])), weights=weight)) < 1e-3
+    assert names[2:] == ["und"] * 3 and not scores[2:].any() and not means[2:].any()
+
+
+def test_noise_is_told_from_language_at_any_length(docs):
+    table = docs.filter("doc_id < 9000 and lang is not null").select("doc_id", "text", "lang").toPandas()
+    learn = table["doc_id"] % 4 != 2
+    net = langid.train(table["text"][learn].tolist(), table["lang"][learn].tolist())
+    rng = np.random.default_rng(0)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = [draw(x, n) for x in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for n in (80, 300, 5000)]
+    clean = [t for t in table["text"][~learn] if len(t) >= 80]
+    assert (langid.score(pa.array(junk, pa.string()), net)[2] < corpus_pipeline.LANGUAGE_CONFIDENCE).all()
+    assert (langid.score(pa.array(clean, pa.string()), net)[2] >= corpus_pipeline.LANGUAGE_CONFIDENCE).mean() > 0.99
