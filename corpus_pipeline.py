@@ -11,9 +11,9 @@ from corpuswright.llm import decontamination, langid, near_copies, packing
 from corpuswright.llm import toxicity as toxic
 from corpuswright.llm._spark import fresh, shared_folder, table
 
-#: A document is rejected if its windows' probabilities of its language are less than this on (geometric) average,
-#: as one without a letter is.
-LANGUAGE_CONFIDENCE = 0.5
+#: A document is rejected if its windows' probabilities of being in some language rather than noise are less than this
+#: on (geometric) average, as one without a letter is.
+LANGUAGE_CONFIDENCE = 0.1
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows, which it finds likelier than not in their windows, at any length."""
+    """Documents with a letter whose windows the network does not take for noise, at any length; mixed languages stay."""
     net = langid.fit(docs)
     name = fresh()
     scored = docs.withColumn(name, langid.predictor(net)("text"))
