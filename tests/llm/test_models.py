@@ -406,3 +406,13 @@ def test_noise_is_told_from_language_at_any_length(docs):
     clean = [t for t in table["text"][~learn] if len(t) >= 80]
     assert (langid.score(pa.array(junk, pa.string()), net)[2] < corpus_pipeline.LANGUAGE_CONFIDENCE).all()
     assert (langid.score(pa.array(clean, pa.string()), net)[2] >= corpus_pipeline.LANGUAGE_CONFIDENCE).mean() > 0.99
+
+
+def test_language_sample_is_bounded_by_language(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "train", lambda texts, languages: got.append(list(zip(languages, texts))))
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(7, f"again {i}", "xx") for i in range(500)] + [(i, "t", "xx") for i in range(8, 12)] + [(None, "t", "xx"), (1, None, "yy"), (2, "", "yy")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(16), sample_docs=50)
+    assert Counter(x for x, _ in got[0]) == {"en": 50, "xx": 5} and ("xx", "again 0") in got[0]
+    ranked = spark.range(3000).selectExpr("id", "xxhash64(id) h").orderBy("h").limit(50).collect()
+    assert [t for x, t in got[0] if x == "en"] == [f"text {r.id}" for r in ranked]
