@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SHINGLE_WORDS = 5
 #: Bytes of text that one vectorised step works on (a longer document is one step).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
