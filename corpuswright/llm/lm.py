@@ -2,7 +2,7 @@
 
 The model is one layer of causal self-attention over public subword ids,
 trained here in numpy by Adam: it begins with a bounded sample, in one task,
-and goes on over all training texts, with steps that grow with their windows, by tasks whose weights are
+and goes on over every window of all training texts, by tasks whose weights are
 averaged in rounds.  A text is the sequence of its words, A-Z
 folded, each encoded with the space before it, and an end.  Windows of CONTEXT
 ids overlap: a window scores its last STRIDE ids, so every id is scored
@@ -45,8 +45,8 @@ VOCABULARY, CLASSES = 992, 31
 WIDTH, INNER = 16, 32
 STEPS, BATCH = 1500, 128
 #: After the sample, all texts: rounds of a part of the texts each, windows a step, and the first round's rate.
-#: Of all texts' windows in a row every LEARN_EVERY-th is a step's: as many steps as the corpus has windows, by that share.
-ROUNDS, ROUND_BATCH, RATE, LEARN_EVERY = 4, 256, 0.004, 6
+#: Every window of every text is a step's, once; LEARN_EVERY says so to who counts the steps.
+ROUNDS, ROUND_BATCH, RATE, LEARN_EVERY = 4, 256, 0.004, 1
 #: Bounds of the sample that the attention weights begin with: texts, and ids of each, from a place that its hash gives.
 SAMPLE_DOCS, SAMPLE_IDS = 3000, 800
 #: Most ids in a bucket of texts, but for a single longer text; and ids that one step of counting or scoring takes.
@@ -194,13 +194,12 @@ def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray,
     x = w["embedding"][inputs]
     x += w["position"]
     late = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
-    flat = x.reshape(-1, WIDTH)
     q = (late.reshape(-1, WIDTH) @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(late.shape)
-    k, v = (flat @ w["key"]).reshape(x.shape), (flat @ w["value"]).reshape(x.shape)
-    a = _attend(q, k, inputs, len(w["embedding"]) - 1)
-    total = a.sum(2, keepdims=True)
+    kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["key"], w["value"]], 1)).reshape(*x.shape[:2], -1)
+    a = _attend(q, kv[:, :, :WIDTH], inputs, len(w["embedding"]) - 1)
+    total = a @ np.ones((CONTEXT, 1), a.dtype)
     total += np.float32(1e-20)
-    seen = a @ v
+    seen = a @ kv[:, :, WIDTH:]
     seen /= total
     y = late + (seen.reshape(-1, WIDTH) @ w["merge"]).reshape(late.shape)
     both = np.concatenate([y, late], 2)
@@ -208,7 +207,7 @@ def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray,
     hidden += w["wide_bias"]
     np.maximum(hidden, 0, out=hidden)
     h = y + (hidden @ w["narrow"]).reshape(y.shape)
-    return h, (x, late, q, k, v, a, total, seen, y, both, hidden.reshape(*y.shape[:2], -1))
+    return h, (x, late, q, kv, a, total, seen, y, both, hidden.reshape(*y.shape[:2], -1))
 
 
 def _attend(q: np.ndarray, k: np.ndarray, inputs: np.ndarray, nothing: int, safe: bool = False) -> np.ndarray:
@@ -296,88 +295,117 @@ class Folded:
         return out
 
 
-def _log_probabilities(model: Attention, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+class Blocks:
+    """The classes' ids and priors side by side, each class as wide as the widest; what pads one has a prior of nothing."""
+
+    def __init__(self, model: Attention):
+        firsts, width = model.firsts[:-1], int(np.diff(model.firsts[:-1]).max())
+        slots = firsts[:-1, None] + np.arange(width)
+        self.held, self.slots = slots < firsts[1:, None], np.minimum(slots, firsts[-1] - 1)
+        self.prior = np.full((len(slots), len(model.class_prior), width), -np.inf, model.class_prior.dtype)
+        for block, p in zip(self.prior, model.id_prior):
+            block[:, : p.shape[1]] = p
+        self.prior = self.prior.reshape(-1, width)
+
+
+def _softmax(e: np.ndarray, which: np.ndarray, slope: np.float32 | None) -> np.ndarray:
+    """Natural log probabilities of the places ``which`` of each row; with ``slope``, the rows become the loss's gradients by them, times that."""
+    np.minimum(e, _MOST, out=e)
+    at = np.arange(0, e.size, e.shape[1]) + which
+    logs = e.ravel()[at]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    logs -= np.log(total)
+    if slope is not None:
+        e *= (slope / total)[:, None]
+        e.ravel()[at] -= slope
+    return logs
+
+
+def _log_probabilities(model: Attention, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None, before: np.ndarray | None = None, blocks: Blocks | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probabilities of targets after the ids ``before`` (rare ones, if not given); with
     ``grads``, adds the mean loss's gradients and returns that by h."""
-    w = model.weights
+    w, blocks = model.weights, blocks or Blocks(model)
     before = np.full(len(h), len(model.of_class) - 1) if before is None else before
     classes = model.of_class[targets]
     order = np.argsort(classes.astype(np.int16), kind="stable")
-    h, targets, classes, before = np.take(h, order, 0), targets[order], classes[order], before[order]
-    cuts = np.searchsorted(classes, np.arange(len(model.firsts)))
-    e = h @ w["to_class"]
-    e += w["class_bias"]
+    #: A one beside each state, for the biases.
+    h = np.concatenate([np.take(h, order, 0), np.ones((len(h), 1), h.dtype)], 1)
+    targets, classes, before = targets[order], classes[order], before[order]
+    cuts = np.searchsorted(classes, np.arange(len(model.firsts))).tolist()
+    slope = None if grads is None else h.dtype.type(1 / max(1, len(h)))
+    to_class = np.concatenate([w["to_class"], w["class_bias"][None]])
+    e = h @ to_class
     e += np.take(model.class_prior, before, 0)
-    np.minimum(e, _MOST, out=e)
-    rows = np.arange(len(h))
-    logs = e[rows, classes]
-    np.exp(e, out=e)
-    total = e.sum(1)
-    logs -= np.log(total)
+    logs = _softmax(e, classes, slope)
     dh = None
     if grads is not None:
-        e /= total[:, None]
-        e[rows, classes] -= 1
-        e /= len(h)
-        grads["to_class"] += h.T @ e
-        grads["class_bias"] += e.sum(0)
+        by_class = h.T @ e
+        grads["to_class"] += by_class[:-1]
+        grads["class_bias"] += by_class[-1]
         dh = e @ w["to_class"].T
-    for c in range(len(model.firsts) - 2):
-        mine = slice(cuts[c], cuts[c + 1])
-        n = cuts[c + 1] - cuts[c]
-        if not n:
-            continue
-        a, b = model.firsts[c], model.firsts[c + 1]
-        hm, t = h[mine], targets[mine] - a
-        e = hm @ w["to_id"][a:b].T
-        e += w["id_bias"][a:b]
-        e += np.take(model.id_prior[c], before[mine], 0)
-        np.minimum(e, _MOST, out=e)
-        logs[mine] += e[rows[:n], t]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        logs[mine] -= np.log(total)
-        if grads is not None:
-            e /= total[:, None]
-            e[rows[:n], t] -= 1
-            e /= len(h)
-            grads["to_id"][a:b] += e.T @ hm
-            grads["id_bias"][a:b] += e.sum(0)
-            dh[mine] += e @ w["to_id"][a:b]
-    out = np.empty_like(logs)
-    out[order] = logs
-    if dh is not None:
+    #: Those of a class of several ids, class by class.
+    n = cuts[len(blocks.slots)]
+    to_id = np.concatenate([w["to_id"], w["id_bias"][:, None]], 1)[blocks.slots]
+    mine = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1 : len(blocks.slots) + 1])) if a < b]
+    e = np.empty((n, to_id.shape[1]), np.result_type(h, to_id))
+    for c, rows in mine:
+        np.matmul(h[rows], to_id[c].T, out=e[rows])
+    e += np.take(blocks.prior, classes[:n] * len(model.class_prior) + before[:n], 0)
+    logs[:n] += _softmax(e, targets[:n] - model.firsts[classes[:n]], slope)
+    if grads is not None:
+        by_id, back = np.zeros_like(to_id), np.empty((n, h.shape[1] - 1), e.dtype)
+        for c, rows in mine:
+            np.matmul(e[rows].T, h[rows], out=by_id[c])
+            np.matmul(e[rows], to_id[c, :, :-1], out=back[rows])
+        ids = blocks.slots[blocks.held]
+        grads["to_id"][ids] += by_id[blocks.held][:, :-1]
+        grads["id_bias"][ids] += by_id[blocks.held][:, -1]
+        dh[:n] += back
         back = np.empty_like(dh)
         back[order] = dh
         dh = back
+    out = np.empty_like(logs)
+    out[order] = logs
     return out, dh
 
 
-def _gradients(model: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def _gradients(model: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray, blocks: Blocks | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and its gradients by all weights."""
     w = model.weights
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    h, (x, late, q, k, v, a, total, seen, y, both, hidden) = _forward(w, inputs)
+    g = {k: np.zeros_like(w[k]) for k in ("embedding", "to_class", "class_bias", "to_id", "id_bias")}
+    h, (x, late, q, kv, a, total, seen, y, both, hidden) = _forward(w, inputs)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     a /= total
-    logs, d = _log_probabilities(model, h[wanted], targets[wanted], g, inputs[:, CONTEXT - STRIDE :][wanted])
-    dh = np.zeros_like(h)
-    dh[wanted] = d
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g["narrow"] = flat(hidden).T @ flat(dh)
-    dz = (dh @ w["narrow"].T) * (hidden > 0)
-    g["wide"], g["wide_bias"] = flat(both).T @ flat(dz), flat(dz).sum(0)
+    some = np.flatnonzero(wanted)
+    logs, d = _log_probabilities(model, flat(h)[some], targets.ravel()[some], g, inputs[:, CONTEXT - STRIDE :].ravel()[some], blocks)
+    dh = np.zeros_like(flat(h))
+    dh[some] = d
+    g["narrow"] = flat(hidden).T @ dh
+    dz = dh @ w["narrow"].T
+    dz *= flat(hidden) > 0
+    g["wide"], g["wide_bias"] = flat(both).T @ dz, np.ones(len(dz), dz.dtype) @ dz
     d_both = dz @ w["wide"].T
-    dy = dh + d_both[:, :, :WIDTH]
-    d_late = dy + d_both[:, :, WIDTH:]
-    g["merge"] = flat(seen).T @ flat(dy)
-    d_seen = dy @ w["merge"].T
-    da, dv = d_seen @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ d_seen
-    ds = a * (da - (a * da).sum(2, keepdims=True))
-    dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = flat(late).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, CONTEXT - STRIDE :] += d_late + dq @ w["query"].T
-    g["position"] = dx.sum(0)
+    dy = dh + d_both[:, :WIDTH]
+    d_late = dy + d_both[:, WIDTH:]
+    g["merge"] = flat(seen).T @ dy
+    d_seen = (dy @ w["merge"].T).reshape(seen.shape)
+    ds = d_seen @ v.transpose(0, 2, 1)
+    #: What the weights' sum takes away: their products' sum is that of the outputs.
+    ds -= np.einsum("nij,nij->ni", d_seen, seen)[:, :, None]
+    ds *= a
+    dq, dkv = ds @ k, np.empty_like(kv)
+    dq *= dq.dtype.type(WIDTH**-0.5)
+    #: The queries have their factor already.
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), d_seen, out=dkv[:, :, WIDTH:])
+    by_kv = flat(x).T @ flat(dkv)
+    g["query"], g["key"], g["value"] = flat(late).T @ flat(dq), by_kv[:, :WIDTH], by_kv[:, WIDTH:]
+    dx = (flat(dkv) @ np.concatenate([w["key"], w["value"]], 1).T).reshape(x.shape)
+    d_late += flat(dq) @ w["query"].T
+    dx[:, CONTEXT - STRIDE :] += d_late.reshape(late.shape)
+    g["position"] = (np.ones(len(dx), dx.dtype) @ dx.reshape(len(dx), -1)).reshape(w["position"].shape)
     order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
     ids = inputs.ravel()[order]
     cuts = np.flatnonzero(np.diff(ids, prepend=-1))
@@ -396,36 +424,54 @@ def train(model: Attention, ids: np.ndarray, counts: np.ndarray, steps: int = ST
         return model
     rng = np.random.default_rng(seed)
     inputs, targets, _ = windows_of(ids, counts)
-    w, own = model.weights, _look_up(model, ids)
-    m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
+    own, adam, blocks = _look_up(model, ids), Adam(model), Blocks(model)
     for t in range(1, steps + 1):
         pick = rng.integers(len(inputs), size=BATCH)
-        _, g = _gradients(model, own[inputs[pick]], own[targets[pick]], targets[pick] != -2)
-        rate = 0.01 * min(1.0, t / 50) * (1 - t / (steps + 1)) + 1e-4
-        _adam(w, g, m, v, t, rate)
+        which = targets[pick]
+        _, g = _gradients(model, own[inputs[pick]], own[which], which != -2, blocks)
+        adam.step(g, 0.01 * min(1.0, t / 50) * (1 - t / (steps + 1)) + 1e-4)
     return model
 
 
-def _adam(w: dict[str, np.ndarray], g: dict[str, np.ndarray], m: dict[str, np.ndarray], v: dict[str, np.ndarray], t: int, rate: float) -> None:
-    for k in w:
-        m[k] += 0.1 * (g[k] - m[k])
-        v[k] += 0.01 * (g[k] * g[k] - v[k])
-        w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+class Adam:
+    """Steps of a model's weights, which become views of one array of its own."""
+
+    def __init__(self, model: Attention):
+        self.names, shapes = list(model.weights), [x.shape for x in model.weights.values()]
+        self.all = np.concatenate([x.ravel() for x in model.weights.values()])
+        cuts = np.cumsum([x.size for x in model.weights.values()])[:-1]
+        model.weights = {k: x.reshape(shape) for k, x, shape in zip(self.names, np.split(self.all, cuts), shapes)}
+        self.m, self.v, self.t = np.zeros_like(self.all), np.zeros_like(self.all), 0
+
+    def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        g = np.concatenate([grads[k].ravel() for k in self.names])
+        self.m *= 0.9
+        self.m += np.float32(0.1) * g
+        self.v *= 0.99
+        g *= g
+        g *= 0.01
+        self.v += g
+        np.sqrt(self.v, out=g)
+        g *= (1 - 0.99**self.t) ** -0.5
+        g += 1e-8
+        np.divide(self.m, g, out=g)
+        g *= rate / (1 - 0.9**self.t)
+        self.all -= g
 
 
 def refine(model: Attention, texts: Iterator[tuple[np.ndarray, np.ndarray]], most: float) -> int:
-    """Adam over the texts, (ids, counts) by part: every LEARN_EVERY-th of all their windows, once each; the number of these."""
-    w = model.weights = {k: x.copy() for k, x in model.weights.items()}
-    m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-    rng, t, seen, skip = np.random.default_rng(1), 0, 0, 0
+    """Adam over the texts, (ids, counts) by part: all their windows, once each; the number of these."""
+    adam, blocks = Adam(model), Blocks(model)
+    rng, seen = np.random.default_rng(1), 0
     for ids, counts in texts:
         inputs, targets, _ = windows_of(ids, counts)
-        own, order = _look_up(model, ids), rng.permutation(np.arange(skip, len(inputs), LEARN_EVERY))
-        skip = (skip - len(inputs)) % LEARN_EVERY
+        own, order = _look_up(model, ids), rng.permutation(len(inputs))
         for a in range(0, len(order), ROUND_BATCH):
-            pick, t = order[a : a + ROUND_BATCH], t + 1
-            _, g = _gradients(model, own[inputs[pick]], own[targets[pick]], targets[pick] != -2)
-            _adam(w, g, m, v, t, most * min(1.0, t / 50))
+            pick = order[a : a + ROUND_BATCH]
+            which = targets[pick]
+            _, g = _gradients(model, own[inputs[pick]], own[which], which != -2, blocks)
+            adam.step(g, most * min(1.0, (adam.t + 1) / 50))
         seen += len(order)
     return seen
 

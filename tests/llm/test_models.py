@@ -357,6 +357,47 @@ def test_steps_grow_with_the_windows():
     assert lm.refine(model, iter(parts), 0.001) == -(-windows // lm.LEARN_EVERY)
 
 
+def test_every_window_is_learned_from_once(monkeypatch):
+    model = lm.lay_out(np.ones(lm.N_IDS), 64, 8)
+    parts = [(np.arange(n) % 50, np.array([n - 7, 7])) for n in (100, 1000, 9, 333)]
+    seen, gradients = Counter(), lm._gradients
+
+    def counted(model, inputs, targets, wanted, *rest):
+        seen.update(np.concatenate([inputs, targets, wanted], 1)[i].tobytes() for i in range(len(inputs)))
+        return gradients(model, inputs, targets, wanted, *rest)
+
+    monkeypatch.setattr(lm, "_gradients", counted)
+    want = Counter()
+    for ids, n in parts:
+        inputs, targets, _ = lm.windows_of(ids, n)
+        own = lm._look_up(model, ids)
+        want.update(x.tobytes() for x in np.concatenate([own[inputs], own[targets], targets != -2], 1))
+    assert lm.refine(model, iter(parts), 0.001) == sum(want.values())
+    assert seen == want
+
+
+def test_gradients_with_classes_of_unlike_size():
+    rng = np.random.default_rng(6)
+    counts = np.zeros(lm.N_IDS)
+    counts[:30], counts[lm.END] = rng.integers(1, 50, 30), 5
+    model = lm.lay_out(counts, 18, 4, (rng.integers(0, 30, 99), rng.integers(0, 30, 99), np.ones(99)))
+    assert len(set(np.diff(model.firsts[:-1]))) > 1
+    model.id_prior, model.class_prior = [x.astype(np.float64) for x in model.id_prior], model.class_prior.astype(np.float64)
+    h, targets, before = rng.normal(0, 1, (60, lm.WIDTH)), rng.integers(0, 19, 60), rng.integers(0, 19, 60)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    g = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    _, dh = lm._log_probabilities(model, h, targets, g, before)
+    loss = lambda: -lm._log_probabilities(model, h, targets, None, before)[0].mean()
+    for array, slope in ((h, dh), *((model.weights[k], g[k]) for k in ("to_id", "id_bias", "to_class", "class_bias"))):
+        for i in rng.choice(array.size, min(4, array.size), replace=False):
+            kept, values = array.flat[i], []
+            for step in (1e-5, -1e-5):
+                array.flat[i] = kept + step
+                values.append(loss())
+            array.flat[i] = kept
+            assert slope.flat[i] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-7)
+
+
 def test_toxicity_summaries_are_the_same_in_training_and_scoring(monkeypatch):
     """Repeats of a word count once whatever is beside it; spelled words count wherever their letters stand."""
     toxic, clean = ["you are an idiot and all know it", "that moron sat"] * 20, ["the cat sat on the mat", "all the good things come"] * 20
