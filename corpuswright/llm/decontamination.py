@@ -24,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import release, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
@@ -147,6 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
         hit = keyed.select("text_key", F.explode(F.array_distinct("shingles")).alias("hash")).join(entries.select("hash"), "hash", "left_semi").select("text_key").distinct()
         some = keyed.join(hit, "text_key", "left_semi")
     held = written(some.select("doc_id", "text_key", "n_words", "shingles"), "held")
+    release(docs.sparkSession)
     once_each = held.dropDuplicates(["text_key"]).select("text_key", "n_words", "shingles")
     met = once_each.select("text_key", "n_words", F.posexplode("shingles").alias("i", "hash")).join(entries, "hash")
     best = best_windows(met, once_each, known, similarity)
@@ -194,6 +195,11 @@ def best_windows(met: DataFrame, texts: DataFrame, known: DataFrame, similarity:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents, all their columns, without those that hold an item; rows of a null id stay."""
-    found = matches(docs, benchmark, similarity).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_held_id")).distinct()
+    """The documents, all their columns, without those that hold an item; rows of a null id stay.
+
+    The ids found are a table of their own: the driver is done with the matching's plan, its largest, before
+    the documents are read again, and few ids are sent to the documents rather than these dealt out by id.
+    """
+    found = written(matches(docs, benchmark, similarity).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_held_id")).distinct(), "found")
+    release(docs.sparkSession)
     return docs.join(found, docs["doc_id"] == found["_held_id"], "left_anti")

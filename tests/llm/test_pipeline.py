@@ -30,3 +30,14 @@ def test_stages_keep_columns_and_rows_of_their_input(spark, docs):
 def test_nothing_in_nothing_out(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontaminate_is_done_with_the_matching_before_it_reads_the_documents_again(spark, docs):
+    from corpuswright.llm import decontamination
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    kept = decontamination.clean(docs, bench)
+    assert "Generate" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.doc_id for r in decontamination.matches(docs, bench).collect()}
+    want = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id is None or r.doc_id not in found]
+    assert found and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
