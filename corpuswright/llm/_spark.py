@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,33 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slim() -> None:
+    """Gives the system back what this Python worker has freed; kept, it would stand beside the executor's heap until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function for mapInArrow, after which its worker is slim."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            slim()
+
+    return kept
+
+
+def collected(rows: DataFrame) -> DataFrame:
+    """The rows; before a task's first one its executor collects its garbage, and so gives back the heap that steps before
+    made it take.  For steps of one task that need memory in Python."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    collect = F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))
+    return rows.filter(F.when(first, F.coalesce(F.length(collect) >= 0, F.lit(True))).otherwise(F.lit(True)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

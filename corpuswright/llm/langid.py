@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import remainder
+from ._spark import remainder, slim
 from ._words import pieces, utf8
 
 WINDOW = 256
@@ -231,6 +231,7 @@ def predictor(net: ByteNet):
     @F.arrow_udf("struct<lang_pred: string, score: double, confidence: double>")
     def predict(texts: pa.Array) -> pa.Array:
         names, scores, means = score(texts, net)
+        slim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(means, pa.float64())], names=["lang_pred", "score", "confidence"])
 
     return predict

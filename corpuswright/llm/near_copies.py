@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, fresh, partitions, release
+from ._spark import checkpointed, fresh, lean, partitions, release
 from ._words import mix, pieces, shingle_sets
 
 PERCENT = 75
@@ -68,7 +68,7 @@ def set_marks(docs: DataFrame) -> DataFrame:
                 marks.append(mark(s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(marks, pa.int64())], names=["doc_id", "text_hash", "n_shingles", "node"])
 
-    return docs.select("doc_id", _text_hash(), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
+    return docs.select("doc_id", _text_hash(), "text").mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def _least_overlap(n: np.ndarray | int, percent: int):
@@ -92,7 +92,7 @@ def coarse_prefixes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(marks).astype(np.int64))], names=["token", "node"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long")
+    return docs.select("text").mapInArrow(lean(run), "token long, node long")
 
 
 def node_sets(docs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def node_sets(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(batch.column("text").slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([pa.array([mark(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("text").mapInArrow(lean(run), "node long, shingles array<long>")
 
 
 def adaptive_prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -140,7 +140,7 @@ def adaptive_prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in out], names=["token", "node", "n", "shared", "l", "p"])
 
-    return common.mapInArrow(run, "token long, node long, n long, shared long, l long, p long")
+    return common.mapInArrow(lean(run), "token long, node long, n long, shared long, l long, p long")
 
 
 def _possible(n: Column, shared: Column, m: Column, other: Column, percent: int) -> Column:

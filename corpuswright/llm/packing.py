@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import checkpointed, partitions
+from ._spark import checkpointed, lean, partitions, slim
 from .tokens import TOKENIZER_FILE, encoder
 
 CAPACITY = 2048
@@ -63,7 +63,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(n)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64()), batch.column("salt").slice(row, len(n)).take(pa.array(doc))], names=[f.split()[0] for f in PIECES.split(", ")])
                 row += len(n)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(run, PIECES)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("salt")).mapInArrow(lean(run), PIECES)
 
 
 class Bins:
@@ -183,6 +183,7 @@ def _epoch(epoch: int, capacity: int, crossovers: int):
             known = [_grouped(np.asarray(x, np.int64)) for x in g.as_py()]
             n = n.values.to_numpy().astype(np.int64)
             out.append(_flat(evolve(n, capacity, (s * 1009 + i) * 31 + epoch, known, crossovers), len(n)))
+        slim()
         return pa.array(out, pa.list_(pa.int32()))
 
     return elite

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import remainder
+from . import tokens
+from ._spark import collected, lean, remainder, slim
 from ._words import pieces, utf8, word_hashes, words
 
 THRESHOLD = 0.3
@@ -218,7 +219,23 @@ def _disguised(s: str, rng: np.random.Generator) -> str:
 def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Machine:
     """From the texts of toxic and clean documents; ``rate``: share of toxic ones among all labelled."""
     even = np.array([0, 0, 0, np.log(max(rate, 1e-4) / max(1 - rate, 1e-4))])
-    none = Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, even, [])
+    learned = _learned(toxic, clean, seed)
+    if learned is None:
+        return Machine(np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, even, [])
+    #: All that it was learned from but the texts is gone by now.
+    slim()
+    table, bias, landmarks = learned
+    buckets = np.flatnonzero(table)
+    machine = Machine(buckets, table[buckets], bias, even, landmarks)
+    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
+    weight = np.where(y > 0, rate / len(toxic), (1 - rate) / len(clean)) * 400
+    #: The same summaries as when it scores.
+    machine.coefficients = calibrate(Scorer(machine)(pa.array(toxic + clean, pa.large_string())), y, weight)
+    return machine
+
+
+def _learned(toxic: list[str], clean: list[str], seed: int) -> tuple[np.ndarray, float, list[str]] | None:
+    """A weight for each bucket, the bias and the landmarks; nothing, if no segment tells toxic texts."""
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
 
@@ -230,7 +247,7 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
     docs = [np.unique(np.concatenate(b)) for b in bags] + [numbered(set().union(*sentences(t))) for t in clean]
     found = list(index)
     if not toxic or not clean or not found:
-        return none
+        return None
     seen = np.zeros((2, len(found)))
     for i, d in enumerate(docs):
         seen[int(i >= len(toxic)), d] += 1
@@ -247,7 +264,7 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
         #: A segment as common in clean documents stands for no toxic sentence.
         positive = np.flatnonzero((witness > 0) & (seen[0] / len(toxic) > 2 * seen[1] / len(clean)))
         if not len(positive):
-            return none
+            return None
         positive = positive[np.argsort(-witness[positive], kind="stable")][:4000]
         negatives = np.flatnonzero(seen[1] > 0)
         hard = negatives[np.argsort(-score[negatives], kind="stable")[:6000]]
@@ -276,13 +293,7 @@ def train(toxic: list[str], clean: list[str], rate: float, seed: int = 0) -> Mac
         table[BUCKETS] = 0
         score = decide(found, table, bias)
         floor = 0.0
-    buckets = np.flatnonzero(table)
-    machine = Machine(buckets, table[buckets], bias, even, landmarks)
-    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    weight = np.where(y > 0, rate / len(toxic), (1 - rate) / len(clean)) * 400
-    #: The same summaries as when it scores.
-    machine.coefficients = calibrate(Scorer(machine)(pa.array(toxic + clean, pa.large_string())), y, weight)
-    return machine
+    return table, bias, landmarks
 
 
 def summary(highest, total, n):
@@ -373,7 +384,9 @@ def scorer(machine: Machine):
         if name not in _scorers:
             _scorers.clear()
             _scorers[name] = Scorer(machine)
-        return pa.array(machine.probability(_scorers[name](texts)), pa.float64())
+        out = pa.array(machine.probability(_scorers[name](texts)), pa.float64())
+        slim()
+        return out
 
     return toxicity
 
@@ -402,12 +415,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r["toxic"], r["doc_id"], r["text"]) for batch in batches for r in batch.to_pylist())
+        #: What other steps have left in this worker.
+        tokens._encoders.clear()
+        slim()
         machine = train([t for x, _, t in got if x], [t for x, _, t in got if not x], rate)
         columns = [machine.buckets.astype(np.int64).tobytes(), machine.weights.astype(np.float32).tobytes(), machine.bias, machine.coefficients.tolist(), machine.landmarks]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())))], names=["buckets", "weights", "bias", "coefficients", "landmarks"])
 
     both = sample(True, SAMPLE_TOXIC).unionByName(sample(False, SAMPLE_CLEAN)).repartition(1)
-    got = both.mapInArrow(learn, "buckets binary, weights binary, bias double, coefficients array<double>, landmarks array<string>").collect()
+    got = collected(both).mapInArrow(lean(learn), "buckets binary, weights binary, bias double, coefficients array<double>, landmarks array<string>").collect()
     if not got:
         return train([], [], rate)
     r = got[0]

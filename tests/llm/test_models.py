@@ -457,3 +457,41 @@ def test_language_sample_is_bounded_by_language(spark, monkeypatch):
     assert Counter(x for x, _ in got[0]) == {"en": 50, "xx": 5} and ("xx", "again 0") in got[0]
     ranked = spark.range(3000).selectExpr("id", "xxhash64(id) h").orderBy("h").limit(50).collect()
     assert [t for x, t in got[0] if x == "en"] == [f"text {r.id}" for r in ranked]
+
+
+def test_calibration_begins_when_all_that_was_learned_from_is_gone(monkeypatch):
+    import tracemalloc
+
+    held = []
+    monkeypatch.setattr(toxicity, "slim", lambda: held.append(tracemalloc.get_traced_memory()[0]))
+    clean = [" ".join(f"word{i}x{j}" for j in range(400)) for i in range(100)]
+    tracemalloc.start()
+    try:
+        machine = toxicity.train(["you are an idiot and all know it", "that idiot sat"] * 20, clean, 0.3)
+    finally:
+        tracemalloc.stop()
+    #: The weights are 4 MB; 40,000 words' segments and scores beside them would be more than 5 MB.
+    assert len(machine.buckets) and held and held[0] < 7e6
+
+
+def test_workers_are_slim_after_a_task_even_if_it_is_cut_short(monkeypatch):
+    from corpuswright.llm import _spark
+
+    calls = []
+    monkeypatch.setattr(_spark, "slim", lambda: calls.append(1))
+    assert list(_spark.lean(lambda batches: (2 * x for x in batches))(iter([1, 2]))) == [2, 4] and len(calls) == 1
+    some = _spark.lean(lambda batches: iter(batches))(iter([1, 2]))
+    next(some)
+    some.close()
+    assert len(calls) == 2
+
+
+def test_an_executor_collects_once_a_task_and_keeps_every_row(spark):
+    from corpuswright.llm._spark import collected
+
+    jvm = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(x.getCollectionCount() for x in jvm.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    rows, before = spark.range(0, 5000, 1, 2), full()
+    assert sorted(r.id for r in collected(rows).collect()) == list(range(5000))
+    assert 2 <= full() - before < 10
+    assert collected(rows.limit(0)).count() == 0
