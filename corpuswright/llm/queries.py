@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, token_counts, toxicity
+from . import chat, decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, token_counts, toxicity
 from ._spark import table
 
 
@@ -50,10 +51,27 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more, of control strings, as -1."""
+    both = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    more = spark.sql("SELECT -1L AS conv_id, stack(2, 0L, 'user', 1L, 'assistant') AS (turn, role), '</s>[INST] ok [/INST]' AS text")
+    return chat.chat_digests(both.unionByName(more))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator's whole result; the other queries are tested against brute force."""
-    return {}
+    return {
+        "op11_chat_digests": r"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE\]|/ROLE\]|:\])', '\1\\\2\3', 'g'))
+                + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 17 + length(role) END AS chars FROM c)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id""",
+    }
