@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, token_counts, toxicity
+from . import alignment, chat, decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, token_counts, toxicity
 from ._spark import table
 
 
@@ -58,6 +58,10 @@ def op11_chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(both.unionByName(more))
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
