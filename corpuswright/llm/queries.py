@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, token_counts, toxicity
+from . import alignment, chat, decontamination, extraction, fingerprint, langid, lm, near_copies, packing, quality, spelling, token_counts, toxicity
 from ._spark import table
 
 
@@ -62,10 +62,27 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
+def _crc_table() -> list[int]:
+    """crc32 of each byte, by the reversed polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+_CRC = f"({_crc_table()}::BIGINT[])"
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator's whole result; the other queries are tested against brute force."""
     return {
@@ -78,4 +95,18 @@ def oracle_sql() -> dict[str, str]:
                 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                 sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
             FROM e GROUP BY conv_id""",
+        "op13_spelling_variants": rf"""
+            WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+            pairs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS times FROM runs GROUP BY ALL),
+            bytes AS (SELECT run, times, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END)) AS b FROM pairs),
+            hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda s, x: xor(s >> 8, {_CRC}[(xor(s, x) & 255) + 1]))) AS h FROM bytes),
+            cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, times FROM hashed),
+            w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+            d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+            near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+                UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+            best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, encode(other))) AS other FROM near GROUP BY word),
+            f AS (SELECT word, CASE WHEN m >= 2 * n THEN other END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+            r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+            SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r USING (word)""",
     }
