@@ -7,20 +7,17 @@ way there:
   cost of the row's class (ten times that of positives where ``compat``);
 * regression: 1/2 |w|^2 + C sum of max(0, |w.x_i - t_i| - tube)^2.
 
-A step solves the Newton equations by conjugate gradients, which need products
-with the rows only, so the same loop serves rows in one task (``Rows``) and rows
-spread over a cluster (``Spread``).
+A step solves the Newton equations by conjugate gradients.  This is for rows in
+memory, as a check; ``dual`` solves the same for rows of a cluster.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 #: Of margins: each row's loss, and its first and second derivative.
 Loss = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -82,55 +79,6 @@ class Local:
         return v + self.rows.back(self.second * self.rows.dot(v))
 
 
-class Spread:
-    """An objective over rows of a DataFrame (columns: array<int>, values: array<double>, y, target, cost), which stay
-    where they are: a plane goes to the tasks, and their sums come back by way of a few tasks that add them."""
-
-    SUMS = "part int, sums binary"
-
-    def __init__(self, rows: DataFrame, width: int, loss: Callable[[np.ndarray, np.ndarray, np.ndarray], Loss]):
-        self.rows, self.width, self.loss = rows, width, loss
-        self.few = math.ceil(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5)
-
-    def _sum(self, of: Callable[[Rows, Loss], np.ndarray], size: int) -> np.ndarray:
-        width, loss, few = self.width, self.loss, self.few
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            total = np.zeros(size)
-            for batch in batches:
-                lists, (y, target, cost) = batch.column("columns"), (batch.column(c).to_numpy() for c in ("y", "target", "cost"))
-                lengths = np.diff(lists.offsets.to_numpy())
-                rows = Rows(np.repeat(np.arange(len(batch)), lengths), lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy(), len(batch), width)
-                total += of(rows, loss(y, target, cost))
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % few], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for batch in batches:
-                for x in batch.column("sums"):
-                    total += np.frombuffer(x.as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
-
-        got = self.rows.mapInArrow(each, self.SUMS).repartition(few, "part").mapInArrow(add, self.SUMS).collect()
-        return sum((np.frombuffer(bytes(r["sums"])) for r in got), np.zeros(size))
-
-    def at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        self.w = w
-
-        def of(rows: Rows, loss: Loss) -> np.ndarray:
-            value, first, _ = loss(rows.dot(w))
-            return np.append(rows.back(first), value.sum())
-
-        sums = self._sum(of, self.width + 1)
-        return 0.5 * float(w @ w) + float(sums[-1]), w + sums[:-1]
-
-    def product(self, v: np.ndarray) -> np.ndarray:
-        w = self.w
-        return v + self._sum(lambda rows, loss: rows.back(loss(rows.dot(w))[2] * rows.dot(v)), self.width)
-
-
 def _direction(product: Callable[[np.ndarray], np.ndarray], gradient: np.ndarray, most: int) -> np.ndarray:
     """Conjugate gradients towards the step that the second derivatives ask for."""
     step, rest = np.zeros_like(gradient), -gradient
@@ -148,7 +96,7 @@ def _direction(product: Callable[[np.ndarray], np.ndarray], gradient: np.ndarray
     return step
 
 
-def minimum(objective: Local | Spread, start: np.ndarray, tolerance: float = 1e-6, rounds: int = 100, most: int = 200) -> np.ndarray:
+def minimum(objective: Local, start: np.ndarray, tolerance: float = 1e-6, rounds: int = 100, most: int = 200) -> np.ndarray:
     """The plane where the gradient is no longer than ``tolerance`` of that at 0; begins at ``start``, which saves
     most steps where it is the optimum of a like objective."""
     scale = math.sqrt(float(np.square(objective.at(np.zeros_like(start))[1]).sum()))

@@ -31,6 +31,21 @@ def _inverse(p: str) -> str:
     return f"(sqrt(2) * sign({x}) * sqrt(sqrt({half} * {half} - {log} / {_A}) - {half}))"
 
 
+def _descent(steps: int) -> str:
+    """The least objective of the machine that ``svc_objective`` trains, by so many steps of steepest descent, each a pair of sums."""
+    parts = [f"""{_WITH}, raw AS (SELECT f.doc_id, f.feature, lo.weight, y.y FROM f JOIN lo USING (feature) JOIN y USING (doc_id) WHERE lo.weight <> 0),
+        norm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM raw GROUP BY doc_id),
+        x AS MATERIALIZED (SELECT doc_id, feature, weight / norm AS v, y, 0.00390625::DOUBLE * CASE WHEN y > 0 THEN 20.0 * neg / (pos + neg) ELSE 2.0 * pos / (pos + neg) END AS c FROM raw JOIN norm USING (doc_id), sizes),
+        docs AS MATERIALIZED (SELECT DISTINCT doc_id, y, c FROM x), rate AS (SELECT 1 / (1 + 2 * sum(c)) AS r FROM docs),
+        w0 AS MATERIALIZED (SELECT DISTINCT feature, 0::DOUBLE AS w FROM x)"""]
+    for i in range(steps):
+        parts.append(f"""m{i} AS MATERIALIZED (SELECT doc_id, greatest(0, 1 - any_value(y) * sum(v * w)) AS short FROM x JOIN w{i} USING (feature) GROUP BY doc_id),
+        w{i + 1} AS MATERIALIZED (SELECT feature, any_value(w) - any_value(r) * (any_value(w) - sum(2 * c * y * short * v)) AS w FROM x JOIN m{i} USING (doc_id) JOIN w{i} USING (feature), rate GROUP BY feature)""")
+    parts.append(f"""last AS (SELECT doc_id, greatest(0, 1 - any_value(y) * sum(v * w)) AS short FROM x JOIN w{steps} USING (feature) GROUP BY doc_id)
+        SELECT round((SELECT sum(w * w) / 2 FROM w{steps}) + (SELECT sum(c * short * short) FROM docs JOIN last USING (doc_id)), 3) AS objective, TRUE AS certified""")
+    return ",\n".join(parts[:-1]) + ",\n" + parts[-1]
+
+
 _SCORES = f"""{_WITH},
 every AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS feature FROM documents),
 s AS (SELECT d.doc_id, coalesce(v / sqrt(nullif(ss, 0)), 0) AS score FROM documents d LEFT JOIN
@@ -47,6 +62,17 @@ def oracle_sql() -> dict[str, str]:
         count(*) FILTER (WHERE score > 1000 AND y > 0)::DOUBLE / count(*) FILTER (WHERE score > 1000) AS p, count(*) FILTER (WHERE score > 1000 AND y > 0)::DOUBLE / count(*) FILTER (WHERE y > 0) AS r FROM len)"""
     rmse = "sqrt(avg(pow(greatest(0, abs(score / {by} - target) - 0.1::DOUBLE), 2)))"
     return {
+        "skipgram_vocabulary": f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM l),
+            g AS (SELECT doc_id, tok, NULL AS prev, 0 AS distance FROM t UNION ALL SELECT a.doc_id, a.tok, b.tok, CAST(a.pos - b.pos AS INTEGER) FROM t a JOIN (SELECT *, unnest([1, 2, 3]) AS d FROM t) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d)
+            SELECT tok, prev, distance, count(*) AS df FROM (SELECT DISTINCT * FROM g) GROUP BY ALL HAVING count(*) >= 2""",
+        "fold_weights": f"""{_WITH}, dealt AS (SELECT doc_id, y, ((row_number() OVER (PARTITION BY y ORDER BY doc_id) - 1) * 5) // count(*) OVER (PARTITION BY y) AS fold FROM y),
+            tr AS (SELECT held, doc_id, y FROM dealt, (SELECT unnest(range(5)) AS held) WHERE fold <> held),
+            n AS (SELECT held, count(*) FILTER (WHERE y > 0) AS pos, count(*) FILTER (WHERE y < 0) AS neg FROM tr GROUP BY held),
+            c AS (SELECT held, feature, count(*) FILTER (WHERE y > 0) AS tp, count(*) FILTER (WHERE y < 0) AS fp FROM f JOIN tr USING (doc_id) GROUP BY ALL HAVING count(*) >= 2)
+            SELECT feature, CAST(held AS BIGINT) AS held, round(weight, 6) AS weight FROM (SELECT feature, held, ln(greatest(tp, 0.1::DOUBLE) * greatest(neg - fp, 0.1::DOUBLE) / (greatest(fp, 0.1::DOUBLE) * greatest(pos - tp, 0.1::DOUBLE))) AS weight FROM c JOIN n USING (held)) WHERE weight <> 0""",
+        "svc_objective": _descent(60),
+        "topic_machines": """SELECT topic, (SELECT count(*) FROM documents WHERE lang IS NOT NULL AND doc_id % 4 = 2) AS documents, count(*) FILTER (WHERE doc_id % 4 = 2) AS positive, TRUE AS separated, TRUE AS certified
+            FROM (SELECT lang AS topic, doc_id FROM documents WHERE lang IS NOT NULL) GROUP BY topic""",
         "word_tokens": f"SELECT doc_id, tok, count(*) AS n FROM ({words}) GROUP BY ALL",
         "skipgrams": f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM l),
             g AS (SELECT tok, NULL AS prev, 0 AS distance FROM t UNION ALL SELECT a.tok, b.tok, CAST(a.pos - b.pos AS INTEGER) FROM t a JOIN (SELECT *, unnest([1, 2, 3]) AS d FROM t) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import folds, html, metrics, scoring, vocabulary
-from ..operators.model import Classifier, Parameters
+from ..operators.model import Classifier, OneVsRest, Parameters
+from ..operators.vocabulary import Part
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -273,6 +274,43 @@ def model_print(spark, sf_dir):
     return _fitted(spark, sf_dir, cost=1.0)[0].summary()
 
 
+def skipgram_vocabulary(spark, sf_dir):
+    """Skip-grams of at least two documents; a sketch keeps the rest from being shuffled."""
+    grams = _table(spark, sf_dir, "documents").select(F.explode(F.array(tx.words(F.col("text")))).alias("w")).select(F.inline(F.array_distinct(tx.skip_grams(F.col("w")))))
+    keys = ["tok", "prev", "distance"]
+    return vocabulary.candidates(grams, keys, 2).groupBy(*keys).agg(F.count("*").alias("df")).filter("df >= 2")
+
+
+def fold_weights(spark, sf_dir):
+    """Each feature's log-odds by each of five training sets, those without a fold, from one count."""
+    dealt = folds.stratified(_y(spark, sf_dir), 5).select("doc_id", "fold", F.when(F.col("y") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("topics"))
+    table = vocabulary.part_weights(_features(spark, sf_dir), dealt, [Part(0, f) for f in range(5)])
+    return table.select("feature", F.posexplode("weights").alias("held", "weight")).filter("weight <> 0").select("feature", F.col("held").cast("long").alias("held"), _r("weight"))
+
+
+def svc_objective(spark, sf_dir):
+    """The least objective of a machine at a low cost, and whether training has certified it."""
+    model = _fitted(spark, sf_dir, cost=2.0**-8, epsilon=0.01)[0]
+    return spark.createDataFrame([(round(model.objective, 3), model.gap <= 0.01)], "objective double, certified boolean")
+
+
+def topic_machines(spark, sf_dir):
+    """Languages as topics, all machines from one count: learned from three documents in four, judged on the rest.
+
+    ``separated``: an AUROC above 0.98 over the documents held out; ``certified``: trained to within epsilon of the least objective.
+    """
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null")
+    held = F.col("doc_id") % 4 == 2
+    words = lambda df: df.select("doc_id", F.explode(tx.words(F.col("text"))).alias("feature"))
+    chosen = Parameters(strategy="plain", cost=1.0)
+    models = OneVsRest(chosen).fit(words(documents.filter(~held)), documents.filter(~held).select("doc_id", F.col("lang").alias("topic")))
+    rest = documents.filter(held)
+    scores = OneVsRest.transform(models, rest, words(rest)).join(rest.select("doc_id", "lang"), "doc_id").withColumn("y", F.when(F.col("lang") == F.col("topic"), 1).otherwise(-1))
+    per = metrics.auroc(scores, ["topic"]).join(scores.groupBy("topic").agg(F.count("*").alias("documents"), F.count_if(F.col("y") > 0).alias("positive")), "topic")
+    sure = spark.createDataFrame([(t, bool(m.gap <= chosen.epsilon)) for t, m in models.items()], "topic string, certified boolean")
+    return per.join(sure, "topic").select("topic", "documents", "positive", (F.col("auroc") > 0.98).alias("separated"), "certified")
+
+
 def html_tag_features(spark, sf_dir):
     return html.html_features(_table(spark, sf_dir, "pages")).filter("kind in ('tag', 'tag2', 'attr', 'attrval', 'url', 'attrurl')")
 
@@ -286,6 +324,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_tokens skipgrams codepoint_features substring_features stopword_filter url_components genotype_features doc_feature_sets label_binarize doc_frequency df_filter "
         "feature_pass_stats feature_dictionary vocab_semi_join feature_counts empty_docs max_doc_features target_centering contingency bns_weights idf_weights log_odds_weights unit_weights "
         "count_threshold_search doc_l2_norm doc_svr_scale doc_dot auroc auroc_by_language f_beta precision eps_rmse cv_summary fold_count stratified_folds round_robin_folds c_min class_balance "
-        "classify_docs decisions minmax_calibrate svc_train svc_search svr_train model_print html_tag_features html_word_features"
+        "classify_docs decisions minmax_calibrate svc_train svc_search svr_train model_print html_tag_features html_word_features "
+        "skipgram_vocabulary fold_weights svc_objective topic_machines"
     )
     return {n: globals()[n] for n in names.split()}

@@ -13,9 +13,9 @@ from corpuswright.cli import main
 from corpuswright.functions import hashing
 from corpuswright.functions import text as tx
 from corpuswright.operators import folds, html, metrics
-from corpuswright.operators import model as models
-from corpuswright.operators.model import Classifier, ClassifierModel, OneVsRest, Parameters, estimator, hill_climb, metric
-from corpuswright.operators.solver import Local, Rows, Spread, hinge, minimum, tube
+from corpuswright.operators import dual
+from corpuswright.operators.model import Classifier, ClassifierModel, OneVsRest, Parameters, estimator, hill_climb
+from corpuswright.operators.solver import Local, Rows, hinge, minimum, tube
 from corpuswright.sources import corpora, framed
 from corpuswright.sources.feature_store import FeatureStore, tokenize
 from corpuswright.streaming.scorer import learn_stream, score_stream
@@ -109,7 +109,14 @@ def test_html_features():
 
 def test_metrics_and_folds(spark):
     rows = spark.createDataFrame([(0.1, -1), (0.1, 1), (0.3, -1), (0.5, 1)], "score double, y int")
-    assert metrics.auroc(rows).first()[0] == metric("auroc", np.array([0.1, 0.1, 0.3, 0.5]), np.array([-1, 1, -1, 1])) == 0.5
+    assert metrics.auroc(rows).first()[0] == 0.5
+    rng = np.random.default_rng(1)
+    many = [(g, float(s), int(y)) for g in ("a", "b") for s, y in zip(np.concatenate([rng.normal(0, 1, 200).round(2), rng.normal(0, 1e-6, 50), [0.0, -0.0]]), rng.choice([-1, 1], 252))] + [("c", 1.0, 1)]
+    got = {r.g: r.auroc for r in metrics.auroc(spark.createDataFrame(many, "g string, score double, y int"), ["g"]).collect()}
+    for g in "ab":
+        pos, neg = ([s for h, s, y in many if h == g and y == c] for c in (1, -1))
+        assert got[g] == pytest.approx(sum(n < p for p in pos for n in neg) / (len(pos) * len(neg)))
+    assert got["c"] is None
     y = spark.createDataFrame([(i, 1) for i in range(5)] + [(i, -1) for i in range(10, 17)], "doc_id long, y int")
     assert [r.fold for r in folds.stratified(y, 2).filter("y = 1").orderBy("doc_id").collect()] == [0, 0, 0, 1, 1]
     assert [folds.fold_count(*x) for x in ((76, 11), (341, 58), (1, 50))] == [5, 10, 2]
@@ -150,16 +157,6 @@ def test_regressor_reaches_its_optimum(seed):
         assert objective.at(w + rng.normal(0, 1e-3, len(w)))[0] >= best - 1e-9
 
 
-def test_spread_rows_give_the_same_plane(spark):
-    rows, rng = problem(5)
-    y = np.where(rng.random(60) < 0.4, 1.0, -1.0)
-    table = [(rows.column[rows.row == i].tolist(), rows.value[rows.row == i].tolist(), float(y[i]), 0.0, 2.0) for i in range(60)]
-    spread = spark.createDataFrame(table, "columns array<int>, values array<double>, y double, target double, cost double").repartition(3)
-    got = minimum(Spread(spread, rows.width, lambda y, target, cost: hinge(y, cost)), np.zeros(rows.width), 1e-4)
-    want = minimum(Local(rows, hinge(y, np.full(60, 2.0))), np.zeros(rows.width), 1e-4)
-    assert np.allclose(got, want, atol=1e-2)
-
-
 def test_hill_climb_doubles_then_turns():
     seen = []
 
@@ -260,7 +257,7 @@ def test_one_machine_a_topic_and_spread_training(spark, corpus, monkeypatch):
     scores = OneVsRest.transform(found, corpus, features).join(topics.withColumnRenamed("topic", "own"), "doc_id")
     per = metrics.auroc(scores.withColumn("y", F.when(F.col("topic") == F.col("own"), 1).otherwise(-1)), ["topic"])
     assert metrics.macro_mean(per).first()[0] > 0.98
-    monkeypatch.setattr(models, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(dual, "BLOCK_CELLS", 100)
     spread = OneVsRest(Parameters(strategy="plain", cost=1.0, intercept=1.0)).fit(features, topics.filter("topic = 'calm'").unionByName(topics.filter("topic <> 'calm'").withColumn("topic", F.lit(None).cast("string"))))
     a, b = ({r.doc_id: r.score for r in m.transform(corpus, features).collect()} for m in (found["calm"], spread["calm"]))
     assert all(a[k] == pytest.approx(b[k], abs=1e-3) for k in a)
