@@ -6,8 +6,8 @@ counts.  A window without any shingle of the item has similarity 0, so windows
 are taken where documents have a benchmark's shingle, found first by a set or a join.
 
 Each window and item has FINGERPRINTS SimHash fingerprints of 64 bits, each of its own
-hashes.  A text and an item are candidates if any window is within the radius of
-the item by any of them; blocks of the bits come first, since two fingerprints within
+hashes.  A text and an item that share a shingle are candidates if any window is within the radius of
+the item by any of them; blocks of the bits are tested before all 64, since two fingerprints within
 the radius are alike, but for a quarter of it, in one of four blocks at least.  The radius is such that one fingerprint
 misses about 7 in 100 windows at the least similarity that counts; four miss all about 2 in 100,000, and fewer above it.
 Candidates are then compared exactly at every window that can be best.
@@ -24,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import release, written
+from ._spark import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
@@ -32,8 +32,6 @@ RADIUS, BLOCKS, FINGERPRINTS = 15, 4, 4
 BLOCK_BITS = 64 // BLOCKS
 #: The lowest bit of each byte; and up to how many shingles a byte counts them.
 _LANES, _LANE_MOST = 0x0101010101010101, 63
-#: Up to this many benchmark shingles the documents are sifted by a set inside the expression, beyond it by a join.
-SET_SHINGLES = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,12 +57,12 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), weight), F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
 
 
-def fingerprint(shingles: Column, number: int) -> Column:
+def fingerprint(shingles: Column, number: int | Column) -> Column:
     """The window's SimHash by the ``number``-th hash of its shingles.
 
     Eight sums count all 64 bits, one byte a bit, where there are few enough shingles.
     """
-    marks = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(number)))
+    marks = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(number) if isinstance(number, int) else number))
     n = F.size(shingles)
     none = F.lit(0).cast("bigint")
     sums = [F.aggregate(marks, none, lambda s, x: s + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(_LANES))) for j in range(8)]
@@ -133,24 +131,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     sequence.  Null and empty texts, and empty tables, match nothing; repeated
     rows of a document give one row.
     """
-    known = items(benchmark).withColumn("item_key", F.xxhash64("item"))
+    known = written(items(benchmark).withColumn("item_key", F.xxhash64("item")), "items")
     entries = known.select("item_id", "item_key", "m", F.inline(counts_of(F.col("item"))))
-    n = known.select(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
-    texts = once(docs.select("doc_id", "text"), "words", word_list(F.col("text"))).drop("text")
-    hashed = once(texts.withColumn("n_words", F.size("words")), "shingles", shingle_hashes(F.col("words"))).drop("words")
-    #: Texts of the same id are told apart by their shingles, and equal texts are compared once.
-    keyed = hashed.select("doc_id", F.xxhash64("shingles").alias("text_key"), "n_words", "shingles")
-    if n <= SET_SHINGLES:
-        wanted = [r[0] for r in entries.select("hash").distinct().collect()] or [0]
-        some = keyed.filter(F.exists("shingles", lambda h: h.isin(wanted)))
-    else:  # too many for a set
-        hit = keyed.select("text_key", F.explode(F.array_distinct("shingles")).alias("hash")).join(entries.select("hash"), "hash", "left_semi").select("text_key").distinct()
-        some = keyed.join(hit, "text_key", "left_semi")
-    held = written(some.select("doc_id", "text_key", "n_words", "shingles"), "held")
-    release(docs.sparkSession)
+    wanted = written(entries.select("hash").distinct(), "wanted")
+    #: Equal texts are compared once.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    worded = once(texts, "words", word_list(F.col("text"))).drop("text")
+    hashed = lambda df: once(df.withColumn("n_words", F.size("words")), "shingles", shingle_hashes(F.col("words"))).drop("words")
+    #: Spark broadcasts the benchmark's shingles, and the texts that have any, while they are few by their files' size; else it joins by shuffles.
+    hit = written(hashed(worded.drop("doc_id")).select("text_key", F.explode("shingles").alias("hash")).join(wanted, "hash", "left_semi").select("text_key").distinct(), "hit")
+    some = texts.join(hit, "text_key", "left_semi")
+    held = written(hashed(once(some, "words", word_list(F.col("text"))).drop("text")).select("doc_id", "text_key", "n_words", "shingles"), "held")
     once_each = held.dropDuplicates(["text_key"]).select("text_key", "n_words", "shingles")
     met = once_each.select("text_key", "n_words", F.posexplode("shingles").alias("i", "hash")).join(entries, "hash")
-    best = best_windows(met, once_each, known, similarity)
+    best = written(best_windows(met, once_each, known, similarity), "best")
     named = held.select("doc_id", "text_key").distinct().join(best, "text_key")
     #: Different texts of one id may hold the same item.
     first = F.max_by(F.struct("start", "length", "similarity"), F.struct("similarity", -F.col("start"))).alias("w")
@@ -176,12 +170,12 @@ def best_windows(met: DataFrame, texts: DataFrame, known: DataFrame, similarity:
     #: A pair with too few shared places in all is done with.
     able = sized.filter(value(F.least(F.size("places"), "span")) >= similarity)
     first = lambda k: F.greatest(F.get("places", k)["p"] - F.col("span") + 1, F.lit(0))
-    prints = once(known.select("item_key", "item").dropDuplicates(["item_key"]), "prints", F.array(*[fingerprint(F.col("item"), t) for t in range(FINGERPRINTS)])).drop("item")
+    prints = once(known.select("item_key", "item").dropDuplicates(["item_key"]), "prints", F.transform(F.array(*map(F.lit, range(FINGERPRINTS))), lambda t: fingerprint(F.col("item"), t))).drop("item")
     radius = radius_for(similarity)
 
     def close(k: Column) -> Column:
         window = F.slice("shingles", first(k) + 1, F.col("span"))
-        return reduce(or_, [near(fingerprint(window, t), F.get("prints", F.lit(t)), radius) for t in range(FINGERPRINTS)])
+        return F.exists(F.array(*map(F.lit, range(FINGERPRINTS))), lambda t: near(fingerprint(window, t), F.get("prints", t), radius))
 
     with_prints = able.join(prints, "item_key").join(texts.select("text_key", "shingles"), "text_key")
     #: From the last window on, as most of a passage's shingles are behind its later ones.
@@ -201,5 +195,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     the documents are read again, and few ids are sent to the documents rather than these dealt out by id.
     """
     found = written(matches(docs, benchmark, similarity).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_held_id")).distinct(), "found")
-    release(docs.sparkSession)
     return docs.join(found, docs["doc_id"] == found["_held_id"], "left_anti")

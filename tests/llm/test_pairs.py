@@ -141,10 +141,8 @@ def planted(seed):
     return docs + [(50, None), (51, ""), (52, "Two  words"), (53, "there are two words"), (0, docs[0][1]), (None, docs[0][1])], items
 
 
-@pytest.mark.parametrize("seed,by_set", [(0, True), (2, False)])
-def test_matches_against_all_windows(spark, monkeypatch, seed, by_set):
-    if not by_set:
-        monkeypatch.setattr(decontamination, "SET_SHINGLES", 0)
+@pytest.mark.parametrize("seed", [0, 2])
+def test_matches_against_all_windows(spark, seed):
     docs, items = planted(seed)
     rows = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, m int")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -169,14 +167,15 @@ def test_items_clipped_by_the_borders(spark):
     assert {d: w[2] for d, w in got.items()} == pytest.approx({d: w[2] for d, w in want.items()})
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_matches_of_null_and_repeated_ids_by_set_and_by_join(spark, monkeypatch, most):
-    monkeypatch.setattr(decontamination, "SET_SHINGLES", most)
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_matches_of_null_and_repeated_ids_by_broadcast_and_by_shuffle(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     docs, items = planted(3)
     held = [t for d, t in docs if d is not None and brute_matches([(d, t)], items)]
     docs += [(60, "short text of six words here"), (60, held[0]), (61, held[0]), (61, f"{'before ' * 90}{held[1]}"), (None, held[1]), (None, "alone here without any item"), (None, held[1])]
     rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(rows, bench).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = brute_matches(docs, items)
     assert {None, 60, 61} <= {d for d, _ in want} and got == pytest.approx(want)
 
