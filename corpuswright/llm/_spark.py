@@ -77,14 +77,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return kept
 
 
-def collected(rows: DataFrame) -> DataFrame:
-    """The rows; before a task's first one its executor collects its garbage, and so gives back the heap that steps before
-    made it take.  For steps of one task that need memory in Python."""
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    collect = F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))
-    return rows.filter(F.when(first, F.coalesce(F.length(collect) >= 0, F.lit(True))).otherwise(F.lit(True)))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,8 @@ it adds; noise is never a language.  The network is trained here, in numpy.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import remainder, slim
+from ._spark import lean, remainder, slim
 from ._words import pieces, utf8
 
 WINDOW = 256
@@ -184,8 +186,16 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample_docs: int = SAMP
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = low.select("doc_id", "lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= sample_docs).select("doc_id", "lang")
     texts = hashed.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min(part).alias("text"))
-    got = texts.orderBy("lang", "h", "doc_id").toPandas()
-    return train(got["text"].tolist(), got["lang"].tolist())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("h", pa.int64()), ("doc_id", pa.string()), ("text", pa.string())])).sort_by([("lang", "ascending"), ("h", "ascending"), ("doc_id", "ascending")])
+        net = train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    #: A task learns; the driver only sees the network.
+    ordered = texts.select("lang", "h", F.col("doc_id").cast("string").alias("doc_id"), "text").repartition(1)
+    got = ordered.mapInArrow(lean(learn), "net binary").first()
+    return pickle.loads(got[0]) if got else train([], [])
 
 
 def score(texts: pa.Array, net: ByteNet) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._spark import collected, lean, remainder, slim
+from ._spark import lean, remainder, slim
 from ._words import pieces, utf8, word_hashes, words
 
 THRESHOLD = 0.3
@@ -423,7 +423,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())))], names=["buckets", "weights", "bias", "coefficients", "landmarks"])
 
     both = sample(True, SAMPLE_TOXIC).unionByName(sample(False, SAMPLE_CLEAN)).repartition(1)
-    got = collected(both).mapInArrow(lean(learn), "buckets binary, weights binary, bias double, coefficients array<double>, landmarks array<string>").collect()
+    got = both.mapInArrow(lean(learn), "buckets binary, weights binary, bias double, coefficients array<double>, landmarks array<string>").collect()
     if not got:
         return train([], [], rate)
     r = got[0]

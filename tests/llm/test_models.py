@@ -484,14 +484,3 @@ def test_workers_are_slim_after_a_task_even_if_it_is_cut_short(monkeypatch):
     next(some)
     some.close()
     assert len(calls) == 2
-
-
-def test_an_executor_collects_once_a_task_and_keeps_every_row(spark):
-    from corpuswright.llm._spark import collected
-
-    jvm = spark.sparkContext._jvm.java.lang.management.ManagementFactory
-    full = lambda: sum(x.getCollectionCount() for x in jvm.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
-    rows, before = spark.range(0, 5000, 1, 2), full()
-    assert sorted(r.id for r in collected(rows).collect()) == list(range(5000))
-    assert 2 <= full() - before < 10
-    assert collected(rows.limit(0)).count() == 0
