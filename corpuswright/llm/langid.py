@@ -188,8 +188,8 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample_docs: int = SAMP
     texts = hashed.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min(part).alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), pa.schema([("lang", pa.string()), ("h", pa.int64()), ("doc_id", pa.string()), ("text", pa.string())])).sort_by([("lang", "ascending"), ("h", "ascending"), ("doc_id", "ascending")])
-        net = train(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+        got = sorted((r["lang"], r["h"], r["doc_id"], r["text"]) for batch in batches for r in batch.to_pylist())
+        net = train([r[3] for r in got], [r[0] for r in got])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
     #: A task learns; the driver only sees the network.
