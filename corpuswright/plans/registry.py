@@ -276,9 +276,12 @@ def model_print(spark, sf_dir):
 
 def skipgram_vocabulary(spark, sf_dir):
     """Skip-grams of at least two documents; a sketch keeps the rest from being shuffled."""
-    grams = _table(spark, sf_dir, "documents").select(F.explode(F.array(tx.words(F.col("text")))).alias("w")).select(F.inline(F.array_distinct(tx.skip_grams(F.col("w")))))
-    keys = ["tok", "prev", "distance"]
-    return vocabulary.candidates(grams, keys, 2).groupBy(*keys).agg(F.count("*").alias("df")).filter("df >= 2")
+    #: Distinct within a text as strings, which are hashed; structs would be compared with each other.
+    named = F.transform(tx.skip_grams(F.col("w")), lambda g: F.concat_ws(" ", g["distance"].cast("string"), g["tok"], g["prev"]))
+    grams = _table(spark, sf_dir, "documents").select(F.explode(F.array(tx.words(F.col("text")))).alias("w")).select(F.explode(F.array_distinct(named)).alias("gram"))
+    known = vocabulary.candidates(grams, ["gram"], 2).groupBy("gram").agg(F.count("*").alias("df")).filter("df >= 2")
+    part = F.split("gram", " ")
+    return known.select(F.get(part, F.lit(1)).alias("tok"), F.get(part, F.lit(2)).alias("prev"), F.get(part, F.lit(0)).cast("int").alias("distance"), "df")
 
 
 def fold_weights(spark, sf_dir):
