@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "learn":
         FeatureStore(spark, args.store).append(_documents(spark, args.paths), float(args.label), parameters.strategy, parameters.do_unique, strict=True)
     elif args.command == "batch-learn":
-        docs = spark.read.format("framed_labels").load(args.path).select(F.monotonically_increasing_id().cast("string").alias("doc_id"), _text().alias("text"), "label")
+        docs = framed.read_framed(spark, args.path).select(F.monotonically_increasing_id().cast("string").alias("doc_id"), _text().alias("text"), "label")
         FeatureStore(spark, args.store).append(docs, F.col("label"), parameters.strategy, parameters.do_unique)
     elif args.command == "analyze":
         store = FeatureStore(spark, args.store)
@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for r in rows.toLocalIterator():
                 print(f"{r['key']}: {r['value']:.9g}")
             return 0
-        docs = _documents(spark, args.paths) if args.command == "classify" else spark.read.format("framed_keys").load(args.path).select(F.col("key").alias("doc_id"), _text().alias("text"))
+        docs = _documents(spark, args.paths) if args.command == "classify" else framed.read_framed(spark, args.path, labels=False).select(F.col("key").alias("doc_id"), _text().alias("text"))
         for r in model.transform(docs, tokenize(docs, model.parameters.strategy)).toLocalIterator():
             print(f"{r['doc_id']}\t{r['score']:.9g}")
     return 0

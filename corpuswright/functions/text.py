@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 #: A word: alphanumerics, apostrophes and bytes over 0x7F after an alphanumeric; or one byte and what follows of other ASCII.
 TOKEN = "[0-9A-Za-z][0-9A-Za-z'\\x80-\\xff]*|[^\\s\\x0B][^\\s\\x0B0-9A-Za-z\\x80-\\xff]*"
 WORD = "[0-9A-Za-z][0-9A-Za-z'\\x{80}-\\x{10FFFF}]*"
+#: A lenient form: a byte whose leading ones number two to six with the bytes that may follow it, or another byte from 0x80.
+FORM = r"[\xC0-\xDF][\x80-\xBF]?|[\xE0-\xEF][\x80-\xBF]{0,2}|[\xF0-\xF7][\x80-\xBF]{0,3}|[\xF8-\xFB][\x80-\xBF]{0,4}|[\xFC-\xFD][\x80-\xBF]{0,5}|[\x80-\xBF\xFE\xFF]"
+_FORM = re.compile(FORM.encode())
+#: Below which first byte a form keeps which of that byte's bits.
+_KEPT_BITS = ((0xC0, 0xFF), (0xE0, 0x1F), (0xF0, 0x0F), (0xF8, 0x07), (0xFC, 0x03), (0xFE, 0x01), (0x100, 0xFF))
 #: Multipliers of the skip-gram window, nearest first, for plain text and for HTML.
 PLAIN_WINDOW, HTML_WINDOW = (3, 9, 17), (3, 5)
 
@@ -98,21 +104,30 @@ def explode_text(text: Column, delimiter: str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def lenient_points(raw: Column) -> Column:
+    """Code points from 128 of any bytes (a text's own, if it is a string), as ``decode_lenient`` gives them."""
+
+    def point(form: Column) -> Column:
+        byte = lambda i: F.ascii(F.substring(form, i, F.lit(1)))
+        first = reduce(lambda rest, step: F.when(byte(F.lit(1)) < step[0], byte(F.lit(1)).bitwiseAND(step[1])).otherwise(rest), reversed(_KEPT_BITS[:-1]), byte(F.lit(1)))
+        more = lambda v, i: F.when(i <= F.length(form), F.shiftleft(v, 6).bitwiseOR(byte(i).bitwiseAND(0x3F))).otherwise(v)
+        return F.aggregate(F.array(*map(F.lit, range(2, 7))), first, more)
+
+    found = F.transform(F.regexp_extract_all(latin1(raw), F.lit(FORM), F.lit(0)), point)
+    return F.filter(found, lambda v: v >= 0x80)
+
+
 def decode_lenient(raw: bytes) -> list[int]:
     """Code points from 128 of any bytes.
 
     A byte whose leading ones number two to six begins a form of as many bytes; a
     form that breaks off gives what it had.  Any other byte stands for itself.
     """
-    out, i = [], 0
-    while i < len(raw):
-        value, i = raw[i], i + 1
-        ones = 8 - (value ^ 0xFF).bit_length()
-        if 2 <= ones <= 6:
-            value &= 0x7F >> ones
-            end = i + ones - 1
-            while i < min(end, len(raw)) and raw[i] >> 6 == 2:
-                value, i = value << 6 | raw[i] & 0x3F, i + 1
+    out = []
+    for form in _FORM.findall(raw):
+        value = form[0] & next(bits for limit, bits in _KEPT_BITS if form[0] < limit)
+        for byte in form[1:]:
+            value = value << 6 | byte & 0x3F
         if value >= 0x80:
             out.append(value)
     return out

@@ -212,14 +212,27 @@ def serialise(doc: Document) -> str:
     return "".join(out)
 
 
-def features(page: str, legacy_entities: bool = False) -> Iterator[tuple[str, str, str | None]]:
-    """(kind, a, b) of every feature, in page order, repeated as they occur.
+def _bytes(text: str) -> bytes:
+    """A text's bytes, those that were none of UTF-8 too."""
+    try:
+        return text.encode("utf-8", "surrogateescape")
+    except UnicodeEncodeError:  # half a pair, named by a reference
+        return text.encode("utf-8", "replace")
+
+
+def _valid(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else _bytes(text).decode("utf-8", "replace")
+
+
+def features(page: str | bytes, legacy_entities: bool = False) -> Iterator[tuple[str, str, str | None]]:
+    """(kind, a, b) of every feature of a page, given as text or as any bytes, in page order, repeated as they occur.
 
     Kinds: tag, tag2 (name in its parent), attr, attrval, url, attrurl, word,
     gram1 and gram2 (a word and the one or two before), ctx (a word in its
     parent's tag), point (a code point from 128).
     """
-    doc = parse(page, legacy_entities)
+    raw = page if isinstance(page, bytes) else _bytes(page)
+    doc = parse(raw.decode("utf-8", "surrogateescape"), legacy_entities)
     labels: dict[int, str] = {}
     past: list[str] = []
     for node in doc.nodes:
@@ -227,8 +240,8 @@ def features(page: str, legacy_entities: bool = False) -> Iterator[tuple[str, st
             continue
         parent = labels.get(id(node.parent), "")
         if node.name in (CONTENT, COMMENT):
-            for raw in _TOKEN.findall(node.content.encode("utf-8", "replace")):
-                token = raw.decode("latin-1")
+            for found in _TOKEN.findall(_bytes(node.content)):
+                token = found.decode("latin-1")
                 if token in _STOP:
                     continue
                 yield "word", token, None
@@ -254,20 +267,20 @@ def features(page: str, legacy_entities: bool = False) -> Iterator[tuple[str, st
                 for part in filter(None, value.split("/")):
                     yield "url", part, None
                     yield "attrurl", f"{label}.{key}", part
-    for point in decode_lenient(page.encode("utf-8", "replace")):
+    for point in decode_lenient(raw):
         yield "point", str(point), None
 
 
 def html_features(pages: DataFrame, key: str = "page_id", html: str = "html", legacy_entities: bool = False) -> DataFrame:
-    """(doc_id, kind, a, b, n): each page's features and how often each occurs; a null page has none."""
+    """(doc_id, kind, a, b, n): each page's (text or bytes) features and how often each occurs; a null page has none."""
     from collections import Counter
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *f, c) for k, page in zip(batch["doc_id"], batch["html"]) if page for f, c in Counter(features(page, legacy_entities)).items()]
+            rows = [(k, kind, _valid(a), _valid(b), c) for k, page in zip(batch["doc_id"], batch["html"]) if page for (kind, a, b), c in Counter(features(page, legacy_entities)).items()]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "a", "b", "n"])
 
-    return pages.selectExpr(f"cast(`{key}` as string) as doc_id", f"`{html}` as html").mapInPandas(run, "doc_id string, kind string, a string, b string, n long")
+    return pages.selectExpr(f"cast(`{key}` as string) as doc_id", f"cast(`{html}` as binary) as html").mapInPandas(run, "doc_id string, kind string, a string, b string, n long")
 
 
 def feature_hashes(found: list[tuple[str, str, str | None]]) -> np.ndarray:

@@ -78,6 +78,15 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT tok, NULL AS prev, 0 AS distance FROM t UNION ALL SELECT a.tok, b.tok, CAST(a.pos - b.pos AS INTEGER) FROM t a JOIN (SELECT *, unnest([1, 2, 3]) AS d FROM t) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d)
             SELECT tok, prev, distance, count(*) AS n FROM g GROUP BY ALL""",
         "codepoint_features": r"SELECT doc_id, point, count(*) AS n FROM (SELECT doc_id, unicode(unnest(regexp_extract_all(text, '[^\x00-\x7F]'))) AS point FROM documents) GROUP BY ALL",
+        "malformed_codepoints": r"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(hex(encode(text)), '(....)..', '\1', 'g'), '(..)', '\1 ', 'g') AS h FROM documents WHERE text IS NOT NULL),
+            f AS (SELECT doc_id, list_transform(string_split(rtrim(unnest(regexp_extract_all(h, '[CD][0-9A-F] (?:[89AB][0-9A-F] )?|E[0-9A-F] (?:[89AB][0-9A-F] ){0,2}|F[0-7] (?:[89AB][0-9A-F] ){0,3}|F[89AB] (?:[89AB][0-9A-F] ){0,4}|F[CD] (?:[89AB][0-9A-F] ){0,5}|[89AB][0-9A-F] |F[EF] '))), ' '), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM h),
+            p AS (SELECT doc_id, list_reduce(list_concat([CASE WHEN b[1] < 192 OR b[1] >= 254 THEN b[1] WHEN b[1] < 224 THEN b[1] & 31 WHEN b[1] < 240 THEN b[1] & 15 WHEN b[1] < 248 THEN b[1] & 7 WHEN b[1] < 252 THEN b[1] & 3 ELSE b[1] & 1 END], b[2:]), lambda v, x: v * 64 + (x & 63)) AS point FROM f)
+            SELECT doc_id, CAST(point AS INTEGER) AS point, count(*) AS n FROM p WHERE point >= 128 GROUP BY ALL""",
+        "byte_skipgrams": r"""WITH b AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: chr(CAST('0x' || x AS INTEGER))), '') AS s FROM documents),
+            l AS (SELECT doc_id, regexp_extract_all(s, '[0-9A-Za-z][0-9A-Za-z''\x{80}-\x{ff}]*|[^\s\x0B][^\s\x0B0-9A-Za-z\x{80}-\x{ff}]*') AS l FROM b), t AS (SELECT doc_id, unnest(l) AS tok, generate_subscripts(l, 1) AS pos FROM l),
+            g AS (SELECT tok, NULL AS prev, 0 AS distance FROM t UNION ALL SELECT a.tok, b.tok, CAST(a.pos - b.pos AS INTEGER) FROM t a JOIN (SELECT *, unnest([1, 2, 3]) AS d FROM t) b ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d)
+            SELECT tok, prev, distance, count(*) AS n FROM g GROUP BY ALL""",
+        "framed_documents": "SELECT CAST(doc_id AS VARCHAR) AS key, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS digest FROM documents WHERE text <> ''",
         "substring_features": "SELECT substr(p_name, i::BIGINT, k::BIGINT) AS feature, count(*) AS n FROM (SELECT p_name, i, unnest(range(3, length(p_name) - i + 2)) AS k FROM (SELECT p_name, unnest(range(1, length(p_name) - 1)) AS i FROM part)) GROUP BY ALL",
         "stopword_filter": f"SELECT doc_id, tok, count(*) AS n FROM ({words}) WHERE tok NOT IN ({_STOP}) GROUP BY ALL",
         "url_components": "SELECT page_id, part, count(*) AS n FROM (SELECT page_id, unnest(string_split(url, '/')) AS part FROM pages WHERE url LIKE 'http://%' OR url LIKE 'https://%') WHERE part <> '' GROUP BY ALL",

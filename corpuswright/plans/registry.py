@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import folds, html, metrics, scoring, vocabulary
 from ..operators.model import Classifier, OneVsRest, Parameters
+from ..operators.tables import shared_folder
 from ..operators.vocabulary import Part
+from ..sources import framed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,29 @@ def codepoint_features(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.code_points(F.col("text"))).alias("point")).groupBy("doc_id", "point").agg(F.count("*").alias("n"))
 
 
+def malformed_codepoints(spark, sf_dir):
+    """Lenient code points of the documents' bytes without every third one."""
+    mangled = F.encode(F.regexp_replace(tx.latin1(F.col("text")), "(?s)(..).", "$1"), "ISO-8859-1")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.lenient_points(mangled)).alias("point"))
+    return rows.groupBy("doc_id", "point").agg(F.count("*").alias("n"))
+
+
+def byte_skipgrams(spark, sf_dir):
+    """Skip-grams of all tokens, punctuation and bytes from 0x80 among them, one character a byte."""
+    rows = _table(spark, sf_dir, "documents").select(F.explode(F.array(tx.tokens(F.col("text")))).alias("t")).select(F.inline(tx.skip_grams(F.col("t"))))
+    return rows.groupBy("tok", "prev", "distance").agg(F.count("*").alias("n"))
+
+
+def framed_documents(spark, sf_dir):
+    """Documents with a text, written as framed files to the shared folder and read again by runs of records."""
+    framed.register(spark)
+    path = f"{shared_folder(spark)}/framed-{uuid.uuid4().hex}"
+    texts = _table(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("content"))
+    texts.write.format("framed_keys").mode("append").save(path)
+    rows = framed.read_framed(spark, path, labels=False)
+    return rows.select("key", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 def substring_features(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.explode(tx.substrings(F.col("p_name"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
 
@@ -328,6 +354,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feature_pass_stats feature_dictionary vocab_semi_join feature_counts empty_docs max_doc_features target_centering contingency bns_weights idf_weights log_odds_weights unit_weights "
         "count_threshold_search doc_l2_norm doc_svr_scale doc_dot auroc auroc_by_language f_beta precision eps_rmse cv_summary fold_count stratified_folds round_robin_folds c_min class_balance "
         "classify_docs decisions minmax_calibrate svc_train svc_search svr_train model_print html_tag_features html_word_features "
-        "skipgram_vocabulary fold_weights svc_objective topic_machines"
+        "skipgram_vocabulary fold_weights svc_objective topic_machines malformed_codepoints byte_skipgrams framed_documents"
     )
     return {n: globals()[n] for n in names.split()}
