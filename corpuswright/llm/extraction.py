@@ -9,7 +9,7 @@ Densities alone tell prose from links, but not an article from other prose: so
 no root is sought within parts that their elements, or the words of their class and id, mark as
 menus, forms, adverts, comments and the like, and such parts of the main text are cut.  A part that
 wraps an article is never one, nor is one whose words leave room for doubt (UNSURE) and which holds
-half of the page's prose or more.
+half of the page's prose or more, nor, whatever its words, one with three quarters of it on a page without an article.
 """
 
 from __future__ import annotations
@@ -144,14 +144,15 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def _marked(node: Node, prose: int) -> bool:
-    """Whether it is a menu, form, advert or the like, on a page with so much prose."""
+def _marked(node: Node, prose: int, article: bool) -> bool:
+    """Whether it is a menu, form, advert or the like, on a page with so much prose and with an article or not."""
     if node.keeps or node.parent is None:
         return False
     if node.name in DROPPED or node.role in ROLES:
         return True
     words = WORDS.intersection(node.words)
-    return bool(words) and not (words <= UNSURE and 2 * node.prose() >= prose)
+    spared = words <= UNSURE and 2 * node.prose() >= prose or not article and 4 * node.prose() >= 3 * prose > 0
+    return bool(words) and not spared
 
 
 def densities(nodes: list[Node]) -> Node:
@@ -192,7 +193,7 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
         if node is not body:
             if node.parent is None or id(node.parent) not in inside or node.gone:
                 continue
-            if _marked(node, prose):
+            if _marked(node, prose, nodes[0].keeps):
                 node.gone = True
                 continue
             inside.add(id(node))

@@ -315,6 +315,9 @@ def test_prose_in_a_wrapper_of_doubtful_name_stays():
     for name in ("search-result", "form-text", "related content", "notice", "widget-body"):
         assert extraction.main_text(f"<body><div class='{name}'><p>{words}</p></div></body>") == words
     assert extraction.main_text(f"<body><div id=comments><p>{words}</p></div><article><p>Short.</p></article></body>") == "Short."
+    #: A wrapper of nearly all prose is the main text whatever its words, where the page has no article.
+    for mark in ("class='ad-free-story'", "id='menu-page'", "class='comment-policy-article'", "class='footer'"):
+        assert extraction.main_text(f"<body><h1>Title</h1><div {mark}><p>{words}</p><p>{words}</p></div><p>Other.</p></body>").count(words) == 2
 
 
 def test_extraction_of_long_and_deep_pages_takes_no_square_time():
