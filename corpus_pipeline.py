@@ -17,14 +17,20 @@ LANGUAGE_CONFIDENCE = 0.1
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine does not find toxic; it learns from all labels."""
+    """Documents that the string-kernel machine does not find toxic; it learns from all labels.
+
+    A null or empty text scores as empty; rows of a null id and repeated rows are scored as any; no documents give none.
+    """
     machine = toxic.fit(docs, table(spark, sf_dir, "labels"))
     name = fresh()
     return docs.withColumn(name, toxic.scorer(machine)(F.coalesce("text", F.lit("")))).filter(F.col(name) < toxic.THRESHOLD).drop(name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose windows the network does not take for noise, at any length; mixed languages stay."""
+    """Documents with a letter whose windows the network does not take for noise, at any length; mixed languages stay.
+
+    A null text and one without a letter go; rows of a null id and repeated rows are judged as any; no documents give none.
+    """
     net = langid.fit(docs)
     name = fresh()
     scored = docs.withColumn(name, langid.predictor(net)("text"))
@@ -32,17 +38,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links; what it links with nothing stays."""
+    """One document of each group that the n-gram Jaccard join links: that of the smallest id; what it links with nothing stays.
+
+    Texts that are null or without a word are linked with nothing and all stay; of rows that repeat one stays; no documents give none.
+    """
     return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item.
+
+    Null and empty texts hold none and stay, as do rows of a null id; an empty benchmark removes nothing; no documents give none.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row a piece."""
+    """Sequences of at most 2048 tokens: one row a piece.
+
+    A null or empty text is its end's id alone; repeated rows are packed as often as they occur; no documents give no rows.
+    """
     return packing.pack(docs)
 
 
