@@ -341,11 +341,11 @@ def topic_machines(spark, sf_dir):
 
 
 def html_tag_features(spark, sf_dir):
-    return html.html_features(_table(spark, sf_dir, "pages")).filter("kind in ('tag', 'tag2', 'attr', 'attrval', 'url', 'attrurl')")
+    return html.html_features(_table(spark, sf_dir, "pages"), kinds=("tag", "tag2", "attr", "attrval", "url", "attrurl"))
 
 
 def html_word_features(spark, sf_dir):
-    return html.html_features(_table(spark, sf_dir, "pages")).filter("kind in ('word', 'gram1', 'gram2', 'ctx', 'point')").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return html.html_features(_table(spark, sf_dir, "pages"), kinds=("word", "gram1", "gram2", "ctx", "point")).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -294,3 +294,34 @@ def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+
+
+def test_html_features_of_many_pages_come_in_bounded_batches(monkeypatch):
+    """However many pages a task gets at once, it gives so many rows at once, and of the kinds asked for alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(html, "BATCH_ROWS", 50, raising=False)
+    runs = []
+
+    class Pages:
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            runs.append(run)
+
+    html.html_features(Pages())
+    html.html_features(Pages(), kinds=("tag",))
+    pages = [f"<p>one two w{i} é<b>x</b>" for i in range(200)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(202)]), pa.array([p if p is None else p.encode() for p in pages], pa.binary())], names=["doc_id", "html"])
+    every, tags = ([b for b in run(iter([batch]))] for run in runs)
+    assert max(b.num_rows for b in every) == 50
+    found = [tuple(r.values()) for b in every for r in b.to_pylist()]
+    want = []
+    for i, page in enumerate(pages):
+        counted = {}
+        for f in html.features(page) if page else ():
+            counted[f] = counted.get(f, 0) + 1
+        want += [(str(i), *f, n) for f, n in counted.items()]
+    assert found == [(k, kind, html._valid(a), html._valid(b), n) for k, kind, a, b, n in want]
+    assert [(r["kind"], r["n"]) for b in tags for r in b.to_pylist()] == [("tag", 1)] * 400
