@@ -325,3 +325,22 @@ def test_html_features_of_many_pages_come_in_bounded_batches(monkeypatch):
         want += [(str(i), *f, n) for f, n in counted.items()]
     assert found == [(k, kind, html._valid(a), html._valid(b), n) for k, kind, a, b, n in want]
     assert [(r["kind"], r["n"]) for b in tags for r in b.to_pylist()] == [("tag", 1)] * 400
+
+
+def test_lists_of_features_are_counted_as_rows_are_and_not_shuffled_as_pairs(spark):
+    """Equal doc_ids are one document; nulls and empty lists have no feature; counts end at 255."""
+    from pyspark.sql import functions as F
+
+    from corpuswright.functions import text as tx
+    from corpuswright.operators import vocabulary
+
+    texts = spark.createDataFrame([(1, "b a b"), (1, "b c"), (2, None), (3, ""), (4, "x " * 300 + "y"), (None, "q q"), (5, "é a é")], "doc_id long, text string")
+    words = texts.filter("doc_id is not null").select("doc_id", F.explode(tx.words(F.col("text"))).alias("feature"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    counts = vocabulary.list_counts(vocabulary.listed(texts, tx.words(F.col("text")), distinct=False))
+    assert key(counts) == key(vocabulary.feature_counts(words)) and (4, "x", 255) in key(counts) and counts.schema["extra"].dataType.simpleString() == "smallint"
+    features = vocabulary.list_features(vocabulary.listed(texts, tx.words(F.col("text"))))
+    assert key(features) == key(words.distinct())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan(counts).count("Exchange hashpartitioning") == plan(features).count("Exchange hashpartitioning") == 1
+    assert "HashAggregate" not in plan(counts).replace("ObjectHashAggregate", "")
