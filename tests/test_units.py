@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuswright.cli import main
 from corpuswright.functions import hashing
 from corpuswright.functions import text as tx
-from corpuswright.operators import folds, html, metrics
+from corpuswright.operators import folds, grams, html, metrics
 from corpuswright.operators import dual
 from corpuswright.operators.model import Classifier, ClassifierModel, OneVsRest, Parameters, estimator, hill_climb
 from corpuswright.operators.solver import Local, Rows, hinge, minimum, tube
@@ -344,3 +344,44 @@ def test_lists_of_features_are_counted_as_rows_are_and_not_shuffled_as_pairs(spa
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan(counts).count("Exchange hashpartitioning") == plan(features).count("Exchange hashpartitioning") == 1
     assert "HashAggregate" not in plan(counts).replace("ObjectHashAggregate", "")
+
+
+def test_skip_grams_are_counted_in_slices_and_buckets_as_one_by_one(spark, monkeypatch):
+    """Null, empty, short and long lists; more documents than a slice; one longer than a slice; equal documents; many buckets."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(grams, "SLICE_TOKENS", 40, raising=False)
+    texts = [None, "", "a", "a a", "b a b a b a", *[f"x y w{i % 7} z é" for i in range(90)], " ".join(f"v{i % 23}" for i in range(300)), "a"]
+    lists = [None if t is None else t.split() for t in texts]
+    want = {False: Counter(), True: Counter()}
+    for words in filter(None, lists):
+        mine = [(t, None if d == 0 else words[i - d], d) for i, t in enumerate(words) for d in range(4) if i >= d]
+        want[False].update(mine)
+        want[True].update(set(mine))
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[i : i + 37], pa.list_(pa.string()))], names=["w"]) for i in range(0, len(lists), 37)]
+    cut = list(grams.slices(iter(batches)))
+    assert [w for s in cut for w in s.to_pylist()] == lists and all(len(s.flatten()) <= 40 or len(s) == 1 for s in cut) and len(cut) < len(texts) / 4
+    for documents in (False, True):
+        parts = [grams.dealt(*grams.slice_counts(s, 3, documents), 300) for s in cut if len(s.flatten())]
+        rows = pa.Table.from_batches(parts).sort_by("bucket")
+        assert rows.num_rows < sum(len(s.flatten()) * 4 for s in cut) and rows.column("bucket").to_numpy().max() < 300
+        for least in (1, 2):
+            found = [tuple(r.values()) for p in grams.by_bucket(iter(rows.to_batches(max_chunksize=5))) for b in grams.merged(p, least) for r in b.to_pylist()]
+            assert len(found) == len({f[:3] for f in found}) and {f[:3]: f[3] for f in found} == {g: n for g, n in want[documents].items() if n >= least}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for documents in (False, True):
+        found = grams.gram_counts(df, "text", F.when(F.col("text") != "", F.split("text", " ")), documents=documents).collect()
+        assert {tuple(r)[:3]: r.n for r in found} == want[documents] and len(found) == len(want[documents])
+    assert grams.gram_counts(df.limit(0), "text", F.split("text", " ")).count() == 0
+
+
+def test_skip_gram_queries_shuffle_buckets_and_not_rows_a_gram(spark, capsys):
+    """A shuffled row holds many skip-grams: no aggregate by skip-gram, whose rows grow with the occurrences, is in the plans."""
+    from corpuswright.plans import registry
+
+    for name in ("skipgrams", "byte_skipgrams", "skipgram_vocabulary"):
+        registry.queries()[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        assert "Exchange hashpartitioning(bucket" in plan and "HashAggregate" not in plan and plan.count("Exchange") == 1
