@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import partitions, remainder, written
-from ._words import word_hashes
-from .tokens import WordEncoder, gathered, tokenizer_path
+from ._words import pieces, utf8, word_hashes, words
+from .tokens import gathered, tokenizer_path
 
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 #: Subword ids of the file, and one for the end of a text (also what stands before its first).
@@ -51,8 +51,10 @@ ROUNDS, ROUND_BATCH, RATE, LEARN_EVERY = 4, 256, 0.004, 1
 SAMPLE_DOCS, SAMPLE_IDS = 3000, 800
 #: Most ids in a bucket of texts, but for a single longer text; and ids that one step of counting or scoring takes.
 BUCKET_IDS, STEP_IDS = 12 << 20, 1 << 19
-#: Words whose ids a worker keeps; beyond it the older half is dropped.
-CACHE_WORDS = 100_000
+#: Parts of the shuffle in which buckets meet their words, for each bucket.
+PARTS_A_BUCKET = 4
+#: Slots for words whose ids a worker keeps, a power of two, and ids beyond which it begins anew.
+CACHE_SLOTS, CACHE_IDS = 1 << 19, 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
@@ -60,8 +62,10 @@ _VALUE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 1 << 16,
 _encoders: dict[str, SubwordEncoder] = {}
 
 
-class SubwordEncoder(WordEncoder):
-    def __init__(self, name: str, cache_words: int = CACHE_WORDS):
+class SubwordEncoder:
+    """Ids of whole texts, A-Z folded; words are looked up by hash, all of a batch at once, and only those not kept are encoded."""
+
+    def __init__(self, name: str, slots: int = CACHE_SLOTS, most: int = CACHE_IDS):
         import public_tokenizers
         import tiktoken
 
@@ -71,32 +75,59 @@ class SubwordEncoder(WordEncoder):
         #: Ids that begin a word.
         self.begins = np.zeros(1 << 16, bool)
         self.begins[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-        self.cache, self.cache_words = {}, cache_words
-
-    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """uint16 ids, as bytes, of the words at these spans: all in one text, but those with white space
-        beyond ASCII, which the tokenizer's pattern could join with the next word's space."""
+        self.shift, self.most = np.uint64(64 - slots.bit_length() + 1), most
+        #: A slot for each value of a hash's first bits: the hash, and where its ids lie; an empty slot has a hash of another's.
+        self.none = (np.arange(slots, dtype=np.uint64) ^ np.uint64(1)) << self.shift
+        self.hashes, self.begin, self.size = self.none.copy(), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts) for consecutive row ranges: flat uint16 ids, and ids of each row."""
+        for a, b in pieces(column):
+            data, offsets = utf8(column.slice(a, b - a))
+            start, end, first = words(data, offsets)
+            if self.used > self.most:
+                self.hashes[:], self.pool, self.used = self.none, np.zeros(1 << 16, np.uint16), 0
+            hashes = word_hashes(data, start, end)
+            slot = (hashes >> self.shift).astype(np.int64)
+            begin, size = self.begin[slot], self.size[slot]
+            new = np.flatnonzero(self.hashes[slot] != hashes)
+            if len(new):
+                unique, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+                where = new[where]
+                flat, sizes = self.encode_words(data, start[where], end[where])
+                if self.used + len(flat) > len(self.pool):
+                    self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(self.pool) + len(flat), np.uint16)])
+                begins = self.used + np.cumsum(sizes) - sizes
+                self.pool[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+                begin[new], size[new] = begins[inverse], sizes[inverse]
+                #: One of two new words of one slot: the same one's hash and place.
+                slot, one = np.unique(slot[where], return_index=True)
+                self.hashes[slot], self.begin[slot], self.size[slot] = unique[one], begins[one], sizes[one]
+            total = np.cumsum(size, dtype=np.int64)
+            ids = self.pool[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - size), size)]
+            yield ids, np.diff(np.concatenate([[0], total])[first])
+
+    def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """uint16 ids of the words at these spans in a row, and how many each has: all in one text, but those with
+        white space beyond ASCII, which the tokenizer's pattern could join with the next word's space."""
         found, begin = gathered(_FOLD[data], start, end)
         alone = np.logical_or.reduceat(_white(found), begin)
-        out: list[bytes] = [b""] * len(start)
-
-        def one_by_one(some: np.ndarray) -> None:
-            raw = found.tobytes()
-            for i in some.tolist():
-                out[i] = np.array(self.encode(" " + raw[begin[i] : begin[i] + end[i] - start[i]].decode("utf-8", "replace")), np.uint16).tobytes()
-
         rest = np.flatnonzero(~alone)
         text, at = gathered(found, begin[rest], begin[rest] + (end - start)[rest])
         flat = np.array(self.encode(np.insert(text, at, 32).tobytes().decode("utf-8", "replace")), np.uint16)
         cuts = np.append(np.flatnonzero(self.begins[flat]), len(flat))
-        if len(cuts) == len(rest) + 1:
-            raw = flat.tobytes()
-            for i, a, b in zip(rest.tolist(), (cuts * 2).tolist(), (cuts[1:] * 2).tolist()):
-                out[i] = raw[a:b]
-        else:
-            one_by_one(rest)
-        one_by_one(np.flatnonzero(alone))
-        return out
+        fits = len(cuts) == len(rest) + 1
+        if fits and len(rest) == len(start):
+            return flat, np.diff(cuts)
+        raw, out = found.tobytes(), [np.zeros(0, np.uint16)] * len(start)
+        if fits:
+            for i, a, b in zip(rest.tolist(), cuts.tolist(), cuts[1:].tolist()):
+                out[i] = flat[a:b]
+        for i in (np.flatnonzero(alone) if fits else range(len(start))):
+            out[i] = np.array(self.encode(" " + raw[begin[i] : begin[i] + end[i] - start[i]].decode("utf-8", "replace")), np.uint16)
+        return np.concatenate(out), np.array([len(x) for x in out])
 
 
 def _white(found: np.ndarray) -> np.ndarray:
@@ -190,30 +221,35 @@ _MOST = np.float32(70)
 
 
 def _forward(w: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Hidden states, (windows, STRIDE, WIDTH), of the places that predict; the last of the model's ids is "nothing"."""
-    x = w["embedding"][inputs]
+    """Hidden states, (windows, STRIDE, WIDTH), of the places that predict; the last of the model's ids is "nothing".
+
+    Values are merged before they are attended to, which is the same and saves a product a place.
+    """
+    x = np.take(w["embedding"], inputs, 0, mode="clip")
     x += w["position"]
-    late = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
-    q = (late.reshape(-1, WIDTH) @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(late.shape)
-    kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["key"], w["value"]], 1)).reshape(*x.shape[:2], -1)
+    late = x[:, CONTEXT - STRIDE :].reshape(-1, WIDTH)
+    q = (late @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(-1, STRIDE, WIDTH)
+    kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["key"], w["value"] @ w["merge"]], 1)).reshape(*x.shape[:2], -1)
     a = _attend(q, kv[:, :, :WIDTH], inputs, len(w["embedding"]) - 1)
-    total = a @ np.ones((CONTEXT, 1), a.dtype)
-    total += np.float32(1e-20)
-    seen = a @ kv[:, :, WIDTH:]
-    seen /= total
-    y = late + (seen.reshape(-1, WIDTH) @ w["merge"]).reshape(late.shape)
-    both = np.concatenate([y, late], 2)
-    hidden = both.reshape(-1, 2 * WIDTH) @ w["wide"]
-    hidden += w["wide_bias"]
-    np.maximum(hidden, 0, out=hidden)
-    h = y + (hidden @ w["narrow"]).reshape(y.shape)
-    return h, (x, late, q, kv, a, total, seen, y, both, hidden.reshape(*y.shape[:2], -1))
+    flat = a.reshape(-1, CONTEXT)
+    flat *= (1 / (flat @ np.ones(CONTEXT, a.dtype) + np.float32(1e-20)))[:, None]
+    seen = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+    y = late + seen
+    hidden = y @ w["wide"][:WIDTH]
+    hidden += late @ w["wide"][WIDTH:]
+    #: Added a window at a time: longer runs than a place's.
+    hidden.reshape(len(x), -1)[:] += np.tile(w["wide_bias"], STRIDE)
+    kept = hidden > 0
+    hidden *= kept
+    h = hidden @ w["narrow"]
+    h += y
+    return h.reshape(-1, STRIDE, WIDTH), (x, late, q, kv, a, seen, y, hidden, kept)
 
 
 def _attend(q: np.ndarray, k: np.ndarray, inputs: np.ndarray, nothing: int, safe: bool = False) -> np.ndarray:
     """Weights, not yet divided by their sums: 0 for what comes after a place, and for nothing.  ``safe``: no product overflows."""
     a = q @ k.transpose(0, 2, 1)
-    if not safe:
+    if not safe and a.max(initial=0) > _MOST:
         np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
     a *= _OPEN
@@ -249,28 +285,28 @@ class Folded:
 
     def hidden(self, inputs: np.ndarray) -> np.ndarray:
         """Hidden states as those of ``_forward``."""
-        kv = np.take(self.early, inputs, 0)
+        kv = np.take(self.early, inputs, 0, mode="clip")
         kv += self.early_place
-        own = np.take(self.late, inputs[:, CONTEXT - STRIDE :], 0)
+        own = np.take(self.late, inputs[:, CONTEXT - STRIDE :], 0, mode="clip")
         own += self.late_place
         a = _attend(own[:, :, WIDTH : 2 * WIDTH], kv[:, :, :WIDTH], inputs, len(self.early) - 1, self.safe)
         f = np.empty((len(inputs), STRIDE, WIDTH + INNER), np.float32)
         seen = a @ kv[:, :, WIDTH:]
-        np.divide(seen[:, :, :WIDTH], seen[:, :, WIDTH:] + np.float32(1e-20), out=f[:, :, :WIDTH])
+        np.multiply(seen[:, :, :WIDTH], 1 / (seen[:, :, WIDTH:] + np.float32(1e-20)), out=f[:, :, :WIDTH])
         f = f.reshape(-1, WIDTH + INNER)
         deep = f[:, :WIDTH] @ self.wide
         deep += own[:, :, 2 * WIDTH :].reshape(-1, INNER)
-        np.maximum(deep, 0, out=f[:, WIDTH:])
+        np.multiply(deep, deep > 0, out=f[:, WIDTH:])
         h = f @ self.back
         h += own[:, :, :WIDTH].reshape(-1, WIDTH)
         return h
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural log probabilities of targets after the ids ``before``: priors times exponentials over their sums."""
-        steep = np.sqrt((h * h).sum(1).max(initial=0)) * self.steepest
-        classes = self.of_class[targets]
+        steep = np.sqrt(((h * h) @ np.ones(WIDTH, h.dtype)).max(initial=0)) * self.steepest
+        classes = np.take(self.of_class, targets)
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        h, targets, classes, before = np.take(h, order, 0), targets[order], classes[order], before[order]
+        h, targets, classes, before = (np.take(x, order, 0, mode="clip") for x in (h, targets, classes, before))
         cuts = np.searchsorted(classes, np.arange(len(self.firsts)))
         logs = np.empty(len(h), np.float32)
 
@@ -279,9 +315,8 @@ class Folded:
             if steep > 60:
                 np.clip(e, -60, 60, out=e)
             np.exp(e, out=e)
-            p = np.take(prior, before, 0)
-            e *= p
-            return np.log(e.ravel()[np.arange(0, e.size, e.shape[1]) + which] / (e @ np.ones(e.shape[1], np.float32)))
+            e *= np.take(prior, before, 0, mode="clip")
+            return np.log(np.take(e.ravel(), np.arange(0, e.size, e.shape[1]) + which) / (e @ np.ones(e.shape[1], np.float32)))
 
         for a in range(0, len(h), 2048):
             part = slice(a, a + 2048)
@@ -302,17 +337,31 @@ class Blocks:
         firsts, width = model.firsts[:-1], int(np.diff(model.firsts[:-1]).max())
         slots = firsts[:-1, None] + np.arange(width)
         self.held, self.slots = slots < firsts[1:, None], np.minimum(slots, firsts[-1] - 1)
+        #: Classes of one size lie in the weights as they do here.
+        self.even, self.most = bool(self.held.all()), int(firsts[-1])
         self.prior = np.full((len(slots), len(model.class_prior), width), -np.inf, model.class_prior.dtype)
         for block, p in zip(self.prior, model.id_prior):
             block[:, : p.shape[1]] = p
         self.prior = self.prior.reshape(-1, width)
 
+    def of(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of ids, by class and place within it."""
+        return weights[: self.most].reshape(*self.slots.shape, *weights.shape[1:]) if self.even else weights[self.slots]
+
+    def add(self, weights: np.ndarray, by_class: np.ndarray) -> None:
+        """Adds to weights of ids what is given by class and place within it."""
+        if self.even:
+            weights[: self.most] += by_class.reshape(self.most, *weights.shape[1:])
+        else:
+            weights[self.slots[self.held]] += by_class[self.held]
+
 
 def _softmax(e: np.ndarray, which: np.ndarray, slope: np.float32 | None) -> np.ndarray:
     """Natural log probabilities of the places ``which`` of each row; with ``slope``, the rows become the loss's gradients by them, times that."""
-    np.minimum(e, _MOST, out=e)
+    if e.max(initial=0) > _MOST:
+        np.minimum(e, _MOST, out=e)
     at = np.arange(0, e.size, e.shape[1]) + which
-    logs = e.ravel()[at]
+    logs = np.take(e.ravel(), at)
     np.exp(e, out=e)
     total = e @ np.ones(e.shape[1], e.dtype)
     logs -= np.log(total)
@@ -322,48 +371,49 @@ def _softmax(e: np.ndarray, which: np.ndarray, slope: np.float32 | None) -> np.n
     return logs
 
 
-def _log_probabilities(model: Attention, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None, before: np.ndarray | None = None, blocks: Blocks | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probabilities of targets after the ids ``before`` (rare ones, if not given); with
-    ``grads``, adds the mean loss's gradients and returns that by h."""
+def _log_probabilities(model: Attention, h: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None, before: np.ndarray | None = None, blocks: Blocks | None = None, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log probabilities of targets after the ids ``before`` (rare ones, if not given), by the ``rows``
+    of ``h`` (all, if not given); with ``grads``, adds the mean loss's gradients and returns that by h."""
     w, blocks = model.weights, blocks or Blocks(model)
-    before = np.full(len(h), len(model.of_class) - 1) if before is None else before
-    classes = model.of_class[targets]
+    before = np.full(len(targets), len(model.of_class) - 1) if before is None else before
+    classes = np.take(model.of_class, targets)
     order = np.argsort(classes.astype(np.int16), kind="stable")
-    #: A one beside each state, for the biases.
-    h = np.concatenate([np.take(h, order, 0), np.ones((len(h), 1), h.dtype)], 1)
-    targets, classes, before = targets[order], classes[order], before[order]
+    rows = order if rows is None else np.take(rows, order)
+    s = np.take(h, rows, 0, mode="clip")
+    targets, classes, before = np.take(targets, order), np.take(classes, order), np.take(before, order)
     cuts = np.searchsorted(classes, np.arange(len(model.firsts))).tolist()
-    slope = None if grads is None else h.dtype.type(1 / max(1, len(h)))
-    to_class = np.concatenate([w["to_class"], w["class_bias"][None]])
-    e = h @ to_class
-    e += np.take(model.class_prior, before, 0)
+    slope = None if grads is None else h.dtype.type(1 / max(1, len(s)))
+    e = s @ w["to_class"]
+    e += np.take(model.class_prior + w["class_bias"], before, 0, mode="clip")
     logs = _softmax(e, classes, slope)
     dh = None
     if grads is not None:
-        by_class = h.T @ e
-        grads["to_class"] += by_class[:-1]
-        grads["class_bias"] += by_class[-1]
+        grads["to_class"] += s.T @ e
+        grads["class_bias"] += np.ones(len(e), e.dtype) @ e
         dh = e @ w["to_class"].T
     #: Those of a class of several ids, class by class.
     n = cuts[len(blocks.slots)]
-    to_id = np.concatenate([w["to_id"], w["id_bias"][:, None]], 1)[blocks.slots]
+    to_id = blocks.of(w["to_id"])
     mine = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1 : len(blocks.slots) + 1])) if a < b]
     e = np.empty((n, to_id.shape[1]), np.result_type(h, to_id))
-    for c, rows in mine:
-        np.matmul(h[rows], to_id[c].T, out=e[rows])
-    e += np.take(blocks.prior, classes[:n] * len(model.class_prior) + before[:n], 0)
-    logs[:n] += _softmax(e, targets[:n] - model.firsts[classes[:n]], slope)
+    for c, part in mine:
+        np.matmul(s[part], to_id[c].T, out=e[part])
+    e += np.repeat(blocks.of(w["id_bias"]), np.diff(cuts[: len(blocks.slots) + 1]), 0)
+    e += np.take(blocks.prior, classes[:n] * len(model.class_prior) + before[:n], 0, mode="clip")
+    logs[:n] += _softmax(e, targets[:n] - np.take(model.firsts, classes[:n]), slope)
     if grads is not None:
-        by_id, back = np.zeros_like(to_id), np.empty((n, h.shape[1] - 1), e.dtype)
-        for c, rows in mine:
-            np.matmul(e[rows].T, h[rows], out=by_id[c])
-            np.matmul(e[rows], to_id[c, :, :-1], out=back[rows])
-        ids = blocks.slots[blocks.held]
-        grads["to_id"][ids] += by_id[blocks.held][:, :-1]
-        grads["id_bias"][ids] += by_id[blocks.held][:, -1]
+        by_id, by_bias, back = np.zeros_like(to_id), np.zeros(to_id.shape[:2], e.dtype), np.empty((n, h.shape[1]), e.dtype)
+        ones = np.ones(n, e.dtype)
+        for c, part in mine:
+            some = e[part]
+            np.matmul(some.T, s[part], out=by_id[c])
+            np.matmul(some, to_id[c], out=back[part])
+            np.matmul(ones[part], some, out=by_bias[c])
+        blocks.add(grads["to_id"], by_id)
+        blocks.add(grads["id_bias"], by_bias)
         dh[:n] += back
-        back = np.empty_like(dh)
-        back[order] = dh
+        back = np.zeros_like(h)
+        back[rows] = dh
         dh = back
     out = np.empty_like(logs)
     out[order] = logs
@@ -372,44 +422,39 @@ def _log_probabilities(model: Attention, h: np.ndarray, targets: np.ndarray, gra
 
 def _gradients(model: Attention, inputs: np.ndarray, targets: np.ndarray, wanted: np.ndarray, blocks: Blocks | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and its gradients by all weights."""
-    w = model.weights
-    g = {k: np.zeros_like(w[k]) for k in ("embedding", "to_class", "class_bias", "to_id", "id_bias")}
-    h, (x, late, q, kv, a, total, seen, y, both, hidden) = _forward(w, inputs)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    a /= total
+    w, half = model.weights, np.float32(WIDTH**-0.5)
+    g = {k: np.zeros_like(w[k]) for k in ("to_class", "class_bias", "to_id", "id_bias")}
+    h, (x, late, q, kv, a, seen, y, hidden, kept) = _forward(w, inputs)
     flat = lambda m: m.reshape(-1, m.shape[-1])
     some = np.flatnonzero(wanted)
-    logs, d = _log_probabilities(model, flat(h)[some], targets.ravel()[some], g, inputs[:, CONTEXT - STRIDE :].ravel()[some], blocks)
-    dh = np.zeros_like(flat(h))
-    dh[some] = d
-    g["narrow"] = flat(hidden).T @ dh
+    logs, dh = _log_probabilities(model, flat(h), np.take(targets.ravel(), some), g, np.take(inputs[:, CONTEXT - STRIDE :].ravel(), some), blocks, some)
+    g["narrow"] = hidden.T @ dh
     dz = dh @ w["narrow"].T
-    dz *= flat(hidden) > 0
-    g["wide"], g["wide_bias"] = flat(both).T @ dz, np.ones(len(dz), dz.dtype) @ dz
-    d_both = dz @ w["wide"].T
-    dy = dh + d_both[:, :WIDTH]
-    d_late = dy + d_both[:, WIDTH:]
-    g["merge"] = flat(seen).T @ dy
-    d_seen = (dy @ w["merge"].T).reshape(seen.shape)
-    ds = d_seen @ v.transpose(0, 2, 1)
+    dz *= kept
+    g["wide"], g["wide_bias"] = np.concatenate([y.T @ dz, late.T @ dz]), np.ones(len(dz), dz.dtype) @ dz
+    dy = dz @ w["wide"][:WIDTH].T
+    dy += dh
+    d_late = dz @ w["wide"][WIDTH:].T
+    d_late += dy
+    d_seen = dy.reshape(q.shape)
+    ds = d_seen @ kv[:, :, WIDTH:].transpose(0, 2, 1)
     #: What the weights' sum takes away: their products' sum is that of the outputs.
-    ds -= np.einsum("nij,nij->ni", d_seen, seen)[:, :, None]
+    seen *= dy
+    flat(ds)[:] -= (seen @ np.ones(WIDTH, seen.dtype))[:, None]
     ds *= a
-    dq, dkv = ds @ k, np.empty_like(kv)
-    dq *= dq.dtype.type(WIDTH**-0.5)
+    dq, dkv = flat(ds @ kv[:, :, :WIDTH]), np.empty_like(kv)
     #: The queries have their factor already.
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
     np.matmul(a.transpose(0, 2, 1), d_seen, out=dkv[:, :, WIDTH:])
     by_kv = flat(x).T @ flat(dkv)
-    g["query"], g["key"], g["value"] = flat(late).T @ flat(dq), by_kv[:, :WIDTH], by_kv[:, WIDTH:]
-    dx = (flat(dkv) @ np.concatenate([w["key"], w["value"]], 1).T).reshape(x.shape)
-    d_late += flat(dq) @ w["query"].T
-    dx[:, CONTEXT - STRIDE :] += d_late.reshape(late.shape)
+    g["query"], g["key"] = (late.T @ dq) * half, by_kv[:, :WIDTH]
+    g["value"], g["merge"] = by_kv[:, WIDTH:] @ w["merge"].T, w["value"].T @ by_kv[:, WIDTH:]
+    dx = (flat(dkv) @ np.concatenate([w["key"], w["value"] @ w["merge"]], 1).T).reshape(x.shape)
+    d_late += dq @ (w["query"] * half).T
+    dx[:, CONTEXT - STRIDE :] += d_late.reshape(q.shape)
     g["position"] = (np.ones(len(dx), dx.dtype) @ dx.reshape(len(dx), -1)).reshape(w["position"].shape)
-    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
-    ids = inputs.ravel()[order]
-    cuts = np.flatnonzero(np.diff(ids, prepend=-1))
-    g["embedding"][ids[cuts]] = np.add.reduceat(np.take(flat(dx), order, 0), cuts, 0)
+    at = np.take(np.arange(w["embedding"].size).reshape(-1, WIDTH), inputs.ravel(), 0, mode="clip")
+    g["embedding"] = np.bincount(at.ravel(), dx.ravel(), w["embedding"].size).astype(dx.dtype).reshape(w["embedding"].shape)
     return -float(logs.mean()), g
 
 
@@ -467,10 +512,10 @@ def refine(model: Attention, texts: Iterator[tuple[np.ndarray, np.ndarray]], mos
     for ids, counts in texts:
         inputs, targets, _ = windows_of(ids, counts)
         own, order = _look_up(model, ids), rng.permutation(len(inputs))
+        inputs, wanted, targets = np.take(own, inputs), targets != -2, np.take(own, targets)
         for a in range(0, len(order), ROUND_BATCH):
             pick = order[a : a + ROUND_BATCH]
-            which = targets[pick]
-            _, g = _gradients(model, own[inputs[pick]], own[which], which != -2, blocks)
+            _, g = _gradients(model, *(np.take(x, pick, 0) for x in (inputs, targets, wanted)), blocks)
             adam.step(g, most * min(1.0, (adam.t + 1) / 50))
         seen += len(order)
     return seen
@@ -572,6 +617,26 @@ def word_ids(ids: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> tuple[n
     return word_hashes(ids, start, np.append(start[1:], len(ids)), _VALUE) if len(start) else np.zeros(0, np.uint64), np.repeat(np.arange(len(counts)), np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(counts)]))))
 
 
+class WordIndex:
+    """Places of words among some distinct ones, by hash: a look at where hashes of the same first bits begin, then a step or two."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        bits = max(1, min(24, len(hashes).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each, all of which must be among the words."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.sorted[at] != hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.sorted[at[left]] != hashes[left]]
+        return self.order[at]
+
+
 def subword_counts(encoded: DataFrame) -> np.ndarray:
     """Counts of all N_IDS ids over every text; an end a text is counted too."""
 
@@ -686,20 +751,21 @@ def scores(docs: DataFrame, learn: Column | None = None, tokenizer: str = TOKENI
     def score(key: tuple, texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         if not len(texts):
             return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(SCORES.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))})
-        known = vocabulary.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, total = known[order], vocabulary.column("total").to_numpy()[order]
+        known, total = WordIndex(vocabulary.column("word").to_numpy().view(np.uint64)), vocabulary.column("total").to_numpy()
         out: list[tuple[np.ndarray, ...]] = []
         folded = Folded(model)
         for ids, counts in steps_of(texts.column("ids")):
             hashes, text = word_ids(ids, counts, begins)
-            c = total[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0, np.int64)
+            c = total[known(hashes)]
             n_words = np.bincount(text, minlength=len(counts))
             out.append((n_words + 1, np.bincount(text[c > 0], minlength=len(counts)), np.bincount(text, np.log10(c + 0.5), len(counts)).astype(float), log10_probabilities(model, ids, counts, folded)))
         n_tokens, n_known, logs, value = (np.concatenate(x) for x in zip(*out))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "known_log": logs, "score": value})
 
-    scored = table.select("bucket", "doc_id", "held_out", "ids").groupBy("bucket").cogroup(located.select("bucket", "word", "total").groupBy("bucket")).applyInArrow(score, SCORES)
+    #: So many parts that few hold two buckets, whatever the session's number: a task stays as large as a bucket.
+    n = max(partitions(docs.sparkSession), PARTS_A_BUCKET * table.select("bucket").distinct().count())
+    texts, vocabulary = (df.repartition(n, "bucket").groupBy("bucket") for df in (table.select("bucket", "doc_id", "held_out", "ids"), located.select("bucket", "word", "total")))
+    scored = texts.cogroup(vocabulary).applyInArrow(score, SCORES)
     #: The end is a token of its own: as often as texts are learned from, known if any is.
     size = F.col("words") + F.col("ends") + 0.5 * (F.col("distinct") + F.when(F.col("ends") > 0, 1).otherwise(0) + 1)
     return scored.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one").select(

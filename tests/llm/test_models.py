@@ -245,6 +245,45 @@ def test_words_are_known_by_their_ids():
     assert all((hashes[i] == hashes[j]) == (fold[i] == fold[j]) for i in range(len(words)) for j in range(i))
 
 
+def test_words_are_kept_between_batches(monkeypatch):
+    """Of more words than a worker kept before few are encoded again, and ids are the same after slots are taken by other words or emptied."""
+    rng = np.random.default_rng(8)
+    found = np.unique(rng.integers(97, 123, (150_000, 7), np.uint8).view("S7").ravel()).astype(str)
+    texts = pa.array([" ".join(found[a : a + 1000]) for a in range(0, len(found), 1000)])
+    some, encoded = lm.SubwordEncoder(lm.TOKENIZER_FILE), []
+    plain = some.encode_words
+    monkeypatch.setattr(some, "encode_words", lambda data, start, end: encoded.append(len(start)) or plain(data, start, end))
+    first = np.concatenate([ids for ids, _ in some(texts)])
+    assert sum(encoded) == len(found)
+    encoded.clear()
+    assert (np.concatenate([ids for ids, _ in some(texts)]) == first).all()
+    assert sum(encoded) < 0.25 * len(found)
+    few = lm.SubwordEncoder(lm.TOKENIZER_FILE, slots=64, most=500)
+    for text in [*ODD_TEXTS, "one two", *ODD_TEXTS, " ".join(found[:300]), *ODD_TEXTS]:
+        assert np.concatenate([np.zeros(0, np.uint16), *(ids for ids, _ in few(pa.array([text], pa.string())))]).tolist() == lm_ids(text)
+
+
+def test_places_of_words_by_hash():
+    rng = np.random.default_rng(9)
+    for hashes in (rng.integers(0, 1 << 64, 5000, np.uint64), np.arange(300, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.array([7], np.uint64)):
+        hashes = rng.permutation(np.unique(hashes))
+        at = rng.integers(0, len(hashes), 1000)
+        assert (lm.WordIndex(hashes)(hashes[at]) == at).all()
+    assert not len(lm.WordIndex(np.zeros(0, np.uint64))(np.zeros(0, np.uint64)))
+
+
+def test_tasks_of_scoring_grow_in_number_with_the_buckets(spark):
+    """The session's number of shuffle parts, which may be small, does not put many buckets into a task."""
+    rows = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string").repartition(10)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        out = lm.scores(rows)
+        assert out.rdd.getNumPartitions() >= 20 and out.count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
 def test_score_of_a_text_against_a_plain_loop():
     """Every id of a text by its own: attention over what its window shows, then class and id by full softmaxes."""
     rng = np.random.default_rng(6)
